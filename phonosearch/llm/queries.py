@@ -29,14 +29,41 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, predict
+
+    docs = documents(spark, sf_dir)
+    return predict(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import perplexity, train
+
+    docs = documents(spark, sf_dir)
+    return perplexity(docs, train(docs))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import fit, judge
+
+    docs = documents(spark, sf_dir)
+    return judge(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(documents(spark, sf_dir)).drop("spans")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op7_packing)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op4_language_id, op5_lm_perplexity, op7_packing, op9_quality_rules, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
