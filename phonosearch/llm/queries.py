@@ -43,12 +43,27 @@ def op5_lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity(docs, train(docs))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import document_tokens
+
+    return document_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordinal import fit, grade
+
+    docs = documents(spark, sf_dir)
+    return grade(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import fit, judge
 
@@ -63,7 +78,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op4_language_id, op5_lm_perplexity, op7_packing, op9_quality_rules, op10_license_scan)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op4_language_id, op5_lm_perplexity, op6_token_counts, op7_packing, op8_quality_classifier, op9_quality_rules, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
