@@ -16,6 +16,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,22 +136,28 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     id are left out of item_ids, but their windows count for hits. Repeated items count once. With an
     empty benchmark all documents are clean; an empty docs gives an empty result.
     """
+    out = texts(docs).withColumns({"items": F.lit(None).cast("array<string>"), "spans": F.lit(None).cast(SPANS)})
+    blocks = list(windows_by_block(docs, benchmark, window, block_bytes))
+    for b, shared in enumerate(blocks):
+        last = b == len(blocks) - 1
+        out = arrow_map(out, search(shared, last), f"doc_id bigint, text string, items array<string>, spans {SPANS}" + ", n_words bigint" * last, 500)
+    hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["length"]), F.lit(0).cast("bigint"))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.array_sort("items").alias("item_ids"), "spans")
+
+
+def windows_by_block(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int):
+    """A broadcast Windows for each block of the benchmark, one at least, its shingles in order of rarity over docs."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    out = texts(docs).withColumns({"items": F.lit(None).cast("array<string>"), "spans": F.lit(None).cast(SPANS)})
     for b in range(blocks):
         # a block is bounded: block_bytes of the benchmark's text, dealt by hash
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
         w = Windows([(r.item, r.text) for r in part], window)
         if w.words:
-            bare = spark.sparkContext.broadcast(w)
-            w.order(shingle_counts(texts(docs), bare))
-        shared = spark.sparkContext.broadcast(w)
-        out = arrow_map(out, search(shared, b == blocks - 1), f"doc_id bigint, text string, items array<string>, spans {SPANS}, n_words bigint" if b == blocks - 1 else f"doc_id bigint, text string, items array<string>, spans {SPANS}", 500)
-    hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["length"]), F.lit(0).cast("bigint"))
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.array_sort("items").alias("item_ids"), "spans")
+            w.order(shingle_counts(texts(docs), spark.sparkContext.broadcast(w)))
+        yield spark.sparkContext.broadcast(w)
 
 
 def search(shared, last: bool):
@@ -170,7 +177,23 @@ def search(shared, last: bool):
     return rows
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs in which no benchmark window occurs, with all their columns."""
-    hit = find_windows(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_hit_doc_id_")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("bigint").eqNullSafe(F.col("_hit_doc_id_")), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs in which no benchmark window occurs, with all their columns.
+
+    A row is judged by its own text where it is, without a join; null and empty texts stay.
+    """
+    at = docs.columns.index("text")
+    out = docs
+    for shared in windows_by_block(docs, benchmark, window, block_bytes):
+        out = out.mapInArrow(clean_rows(shared, at), docs.schema)
+    return out
+
+
+def clean_rows(shared, at: int):
+    def run(batches):
+        w: Windows = shared.value
+        for b in batches:
+            keep = [not (w.words and w.find(w.ids(alnum_words(t)))) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return run

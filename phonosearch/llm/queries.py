@@ -29,6 +29,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replaced
+
+    found = replaced(documents(spark, sf_dir))
+    return found.select("doc_id", "text", F.col("_entities_").cast("bigint").alias("n_entities"), F.array_join("_kinds_", ",").alias("kinds"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, held_out, predict
 
@@ -78,7 +85,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op4_language_id, op5_lm_perplexity, op6_token_counts, op7_packing, op8_quality_classifier, op9_quality_rules, op10_license_scan)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_pii_surrogates, op4_language_id, op5_lm_perplexity, op6_token_counts, op7_packing, op8_quality_classifier, op9_quality_rules, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
