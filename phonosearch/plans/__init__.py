@@ -1,0 +1 @@
+"""Queries and the plans behind them."""
