@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .inventory import CODA_LETTERS, CODAS, KOREAN_VOWELS, NUCLEI, NUCLEUS_LETTERS, ONSET_LETTERS, ONSETS, SOUND_NAMES
 
@@ -27,7 +28,7 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(F.trim(text)), before, after)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def fold_any(text: pa.Array) -> pa.Array:
     """fold() for all scripts: decompose, drop combining marks U+0300 to U+036F, compose."""
 
