@@ -74,7 +74,7 @@ def projected(embeddings: DataFrame, dims: int, id_column: str = "vec_id", vecto
     from pyspark.ml.stat import Summarizer
 
     v = embeddings.select(F.col(id_column).alias("row_id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    mean = v.select(Summarizer.mean("v").alias("m")).select(vector_to_array("m").alias("m"))
+    mean = v.select(Summarizer.mean(F.col("v")).alias("m")).select(vector_to_array("m").alias("m"))
     centred = v.join(F.broadcast(mean), how="cross").select("row_id", array_to_vector(F.zip_with(vector_to_array("v"), F.col("m"), lambda x, y: x - y)).alias("v"))
     return PCA(k=dims, inputCol="v", outputCol="p").fit(centred).transform(centred).select("row_id", vector_to_array("p").alias("embedding"))
 
