@@ -101,12 +101,15 @@ class Model:
         for lang in self.languages:
             known = [self.symbols.get(c, 1) for c in samples[lang]]
             t = Automaton(known, self.alphabet).next
-            fresh = np.where(t[0] >= 0, t[0], 0)
+            # one more state: behind a symbol that the sample lacks, which is a phrase by itself
+            alone = len(t)
+            fresh = np.where(t[0] >= 0, t[0], alone)
             full = np.where(t >= 0, t, fresh[None, :] | self.END)
-            tables.append(full + base)
+            full[0] = fresh  # a piece's first phrase is counted from the start
+            tables.append(np.concatenate((full, fresh[None, :] | self.END)).astype(np.int32) + np.int32(base))
             starts.append(base)
             self.scale.append(np.log2(max(2, len(known))))
-            base += len(t)
+            base += len(t) + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.starts = np.array(starts, np.int32)
         self.scale = np.array(self.scale)

@@ -2,7 +2,7 @@
 
 P(grade > k) = sigmoid(s(x) - t_k) with ordered thresholds t_0 < t_1 < ...; all grades share the weights
 of s. Features are hashed: each distinct word of a text that the labelled sample shows in enough
-documents, and a few scaled shares of the text's shape. Training is full-batch gradient descent with
+documents and with a grade of their own, and a few scaled shares of the text's shape. Training is full-batch gradient descent with
 momentum and a penalty, in numpy on the driver, over a bounded sample of labelled rows; scoring is
 a pass over all texts.
 
@@ -20,6 +20,8 @@ from .common import arrow_map, texts
 
 #: Bounds of the fit: labelled rows, and words that the model looks at.
 SAMPLE_ROWS, BITS, LEAST_DOCS = 12_000, 22, 5
+#: What a word must tell about the grade to get a weight (chance alone gives 20 to one word in twenty thousand).
+LEAST_GAIN = 20.0
 GRADES = 3
 SHAPES = 5
 STRIP = b".,;:!?\"'()[]"
@@ -71,6 +73,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(s[:, None] - self.cuts, -40, 40)))
 
 
+def associated(place: np.ndarray, grade_of: np.ndarray, grades: np.ndarray, n: int) -> np.ndarray:
+    """How much each word tells about the grade: the log-likelihood ratio of its documents' grades to all documents'."""
+    share = np.maximum(np.bincount(grades, minlength=GRADES) / max(1, len(grades)), 1e-9)
+    counts = np.bincount(place * GRADES + grade_of, minlength=n * GRADES).reshape(n, GRADES).astype(float)
+    expected = counts.sum(axis=1, keepdims=True) * share
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * np.where(counts > 0, counts * np.log(counts / expected), 0.0).sum(axis=1)
+
+
 def train(held: list[tuple[list[int], list[float]]], grades: np.ndarray, least_docs: int = LEAST_DOCS, rounds: int = 400, penalty: float = 2e-4) -> Model:
     """Maximum likelihood of the cumulative-link model, by gradient steps scaled by each weight's past gradients.
 
@@ -78,8 +89,8 @@ def train(held: list[tuple[list[int], list[float]]], grades: np.ndarray, least_d
     """
     n = max(1, len(held))
     seen = np.concatenate([np.array(h, np.int64) for h, _ in held]) if held else np.zeros(0, np.int64)
-    words, docs_with = np.unique(seen, return_counts=True)
-    words = words[docs_with >= least_docs]
+    words, place, docs_with = np.unique(seen, return_inverse=True, return_counts=True)
+    words = words[(docs_with >= least_docs) & (associated(place, np.repeat(grades, [len(h) for h, _ in held]), grades, len(words)) >= LEAST_GAIN)] if held else words
     shape = np.array([x for _, x in held]) if held else np.zeros((1, SHAPES))
     centre, scale = shape.mean(axis=0), np.maximum(shape.std(axis=0), 1e-3)
     z = (shape - centre) / scale

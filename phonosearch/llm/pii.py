@@ -39,8 +39,8 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?",
 }
 PATTERN = "|".join(PATTERNS.values())
-#: Every entity holds a digit, an @, a title or a secret's word: texts without one need no closer look.
-HINT = rf"[0-9@]|(?i:{SECRET}) ?[=:]|(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+#: Every entity holds a digit, an @, a key's prefix, a title or a secret's word: texts without one need no closer look.
+HINT = rf"[0-9@]|AKIA|ASIA|(?i:{SECRET}) ?[=:]|(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 
 #: Given names by script and gender, surnames by script.
 GIVEN = {
