@@ -90,5 +90,22 @@ def queries() -> dict:
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_pii_surrogates, op4_language_id, op5_lm_perplexity, op6_token_counts, op7_packing, op8_quality_classifier, op9_quality_rules, op10_license_scan)}
 
 
+#: A-Z to lower case, then words of ASCII letters, digits and all other characters from U+0080 on.
+WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+OP2 = f"""
+WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (SELECT item, least(10, len(w)) AS n, unnest(list_transform(range(1, greatest(2, len(w) - 8)), lambda i: array_to_string(w[i : i + 9], ' '))) AS x FROM iw WHERE len(w) > 0),
+dw AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+places AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS x FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM dw CROSS JOIN (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT doc_id, p, places.n AS n, item FROM places JOIN windows ON windows.x = places.x AND windows.n = places.n),
+hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS pos FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM found GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits ON hits.doc_id = dw.doc_id LEFT JOIN items ON items.doc_id = dw.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only contamination: hashes with a seed, automata, models and linear programs are beyond SQL, and are tested against brute force."""
+    return {"op2_decontamination": OP2}
