@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,12 +168,17 @@ def score(code: Column, query: Query, parts: str = "both", shortcut: bool = True
     return run(code)
 
 
+def once(function):
+    """The function marked so that the optimizer doesn't compute it again for a filter on its result."""
+    return function.asNondeterministic()
+
+
 def best_score(lists: Column, queries: list[Query]) -> Column:
     """Best score over a row's list of sequences and several queries; null where the list is empty."""
 
     @F.arrow_udf("double")
     def run(lists: pa.Array) -> pa.Array:
-        flat, sizes = lists.flatten(), np.array([len(x) if x.is_valid else 0 for x in lists])
+        flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         if not len(flat) or not queries:
             return pa.nulls(len(lists), pa.float64())
         top = np.max([score_codes(flat, q) for q in queries], axis=0)
@@ -182,7 +188,7 @@ def best_score(lists: Column, queries: list[Query]) -> Column:
         out[some] = np.maximum.reduceat(top, (ends - sizes)[some])
         return pa.array(out, pa.float64(), mask=~some)
 
-    return run(lists)
+    return once(run)(lists)
 
 
 def plain_score(code: Column, query: Query) -> Column:
@@ -285,4 +291,4 @@ def boundary(code: Column, query: Query, side: str) -> Column:
         top[np.array([c == query.code for c in held.dictionary.to_pylist()], bool)] = 100.0
         return pa.array(top[held.indices.to_numpy(zero_copy_only=False)])
 
-    return F.when(F.length(code) < n, 0.0).otherwise(run(part))
+    return F.when(F.length(code) < n, 0.0).otherwise(once(run)(part))

@@ -38,16 +38,16 @@ def score_raw(lexicon: DataFrame, request: Request) -> DataFrame:
 
     raw depends on pronunciation settings alone, so that other settings rank the same rows again.
     """
-    out, names = candidates(lexicon, request), []
+    out, columns = candidates(lexicon, request), {}
     for k, (lang, layer, queries, _, cross) in enumerate(pairings(request)):
         if lang not in request.languages:
             continue
         test = F.col("lang") == lang
         lists = F.when(test & (F.size("koreanized") > 0) if cross else test, layer_of(layer))
-        out = out.withColumn(f"_score_{k}", best_score(lists, list(queries)))
-        names.append(F.col(f"_score_{k}"))
+        columns[f"_score_{k}"] = best_score(lists, list(queries))
+    names = [F.col(c) for c in columns]
     raw = F.greatest(*names) if len(names) > 1 else names[0] if names else F.lit(None).cast("double")
-    return out.withColumn("raw", raw).drop(*(f"_score_{k}" for k in range(5)))
+    return out.withColumns(columns).withColumn("raw", raw).drop(*columns)
 
 
 def rank(raw: DataFrame, request: Request) -> DataFrame:
@@ -109,20 +109,20 @@ def batch_search(lexicon: DataFrame, requests: dict[str, Request], top: int = 10
     Each request's scores are columns of the same scan; a heap for each query and partition (the top-k
     aggregate) goes over the wire, never a row for each word and query.
     """
-    plans = {name: pairings(r) for name, r in requests.items()}
-    out = lexicon
-    parts = []
-    for name, r in requests.items():
-        r = r.normalized()
-        ok = F.col("lang").isin(*r.languages) & (F.lower("word") != r.query.lower()) & (~holds_any(F.col("word"), list(r.exclude)))
+    columns, parts = {}, []
+    for i, (name, r) in enumerate(requests.items()):
+        plan, r = pairings(r), r.normalized()
+        ok = F.col("lang").isin(*r.languages) & (F.lower("word") != r.query.lower()) & ~holds_any(F.col("word"), list(r.exclude))
         scores = []
-        for lang, layer, queries, _, cross in plans[name]:
+        for j, (lang, layer, queries, _, cross) in enumerate(plan):
             if lang in r.languages:
                 test = ok & (F.col("lang") == lang)
-                scores.append(best_score(F.when(test & (F.size("koreanized") > 0) if cross else test, layer_of(layer)), list(queries)))
-        raw = F.greatest(*scores) if len(scores) > 1 else scores[0]
+                columns[f"_score_{i}_{j}"] = best_score(F.when(test & (F.size("koreanized") > 0) if cross else test, layer_of(layer)), list(queries))
+                scores.append(F.col(f"_score_{i}_{j}"))
+        raw = F.greatest(*scores) if len(scores) > 1 else scores[0] if scores else F.lit(None).cast("double")
         parts.append(F.struct(F.lit(name).alias("query"), raw.alias("raw"), F.lit(float(r.frequency_weight)).alias("weight")))
-    rows = out.select("word_id", "word", "lang", "zipf", "ord", F.explode(F.array(*parts)).alias("_part")).select("word_id", "word", "lang", "zipf", "ord", "_part.*").where(F.col("raw") > THRESHOLD)
+    own = ["word_id", "word", "lang", "zipf", "ord"]
+    rows = lexicon.withColumns(columns).select(*own, F.explode(F.array(*parts)).alias("_part")).select(*own, "_part.*").where(F.col("raw") > THRESHOLD)
     z = rows.withColumn("score", weighted(rows)).withColumn("key", tie_key(F.col("score")))
     w = Window.partitionBy("query").orderBy(F.desc("key"), "ord")
     return z.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

@@ -417,3 +417,62 @@ def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def input_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and digests of the benchmark's files."""
     return integrity.manifest(spark, f"{sf_dir}/benchmark.parquet")
+
+
+# ---- Korean ---------------------------------------------------------------------------------------
+
+TOY = [(w, z, p) for (w, p), z in zip(SPOKEN, [5.0, 2.0, None, 4.5, 3.0, 3.6, 1.0, 6.0, 2.2, 4.0, 5.5, None, 3.4, 3.5])]
+TOY_REQUEST = Request("마시다", ("m", "a", "s", "i", "t", "a"), korean=(("m", "a", "s", "i", "t", "a"),), languages=("ko",), frequency_weight=2.0)
+TOY_SQL = f"toy AS (SELECT word, CAST(zipf AS DOUBLE) AS zipf, string_split(p, ' ') AS ph FROM {sql.values(TOY, 'word, zipf, p')})"
+
+
+def toy_lexicon(spark: SparkSession) -> DataFrame:
+    from phonosearch.functions.inventory import encode
+
+    rows = [(w, w, "ko", z, w, [encode(p.split())], [], []) for w, z, p in TOY]
+    return spark.createDataFrame(rows, "word_id string, word string, lang string, zipf double, ord string, ko array<string>, native array<string>, koreanized array<string>")
+
+
+def toy_oracle() -> str:
+    from phonosearch.plans.request import pairings
+
+    q = pairings(TOY_REQUEST)[0][2][0]
+    return f"WITH {sql.SIM}, {TOY_SQL}, " + sql.scored("x", "toy", "word", "ph", q) + f" SELECT word, {sql.key('s')} AS raw, {sql.key(sql.frequency('s', 'zipf', 2.0))} AS score FROM x JOIN toy ON word = k WHERE s > 40"
+
+
+@query(toy_oracle())
+def word_search_korean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_search.search(toy_lexicon(spark), TOY_REQUEST).select("word", tie_key(F.col("raw")).alias("raw"), F.col("key").alias("score"))
+
+
+@query()
+def linked_search_korean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaces with written syllables: particles as heads are skipped, the shared part is bracketed."""
+    from phonosearch.functions.inventory import encode
+    from phonosearch.operators import linked_search
+
+    surfaces = [(0, "사가", "s a k a", None, 4.0), (1, "나비", "n a p i", None, 4.0), (2, "마니", "m a n i", None, 3.0), (3, "가을", "k a i l", None, 4.0), (4, "사가는", "s a k a n i n", "사가", 3.0), (5, "소금", "s o k i m", None, 2.0)]
+    units = spark.createDataFrame([(i, t, n, n is not None, encode(p.split()), z) for i, t, p, n, z in surfaces], "id int, text string, norm_text string, is_particle boolean, ko string, zipf double")
+    edges = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (4, 1), (5, 1)], "first int, second int")
+    request = Request("가나", tuple("kana"), korean=(tuple("kana"),), syllables=(("가", 0), ("나", 2)), frequency_weight=0.0, languages=("ko",))
+    pairs, plan = linked_search.collect(units, edges, request, "ko", ("ko",))
+    name = lambda c, z: units.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text"), F.col("zipf").alias(z))
+    both = pairs.join(name("first", "za"), "first").join(name("second", "zb"), "second").withColumn("zipf", (F.col("za") + F.col("zb")) / 2)
+    return linked_search.describe(linked_search.rank(both, request), plan).select("display", "split_label", F.col("key").alias("score"))
+
+
+REMAPS = [([1.0, 2.0, 3.0], 3, 6), ([1.0, 2.0, 3.0], 3, 2), ([4.0], 1, 3)]
+
+
+@query(f"SELECT n, m, array_to_string([CAST(CAST(detail[least(n - 1, (i * n) // m) + 1] AS INTEGER) AS VARCHAR) for i in range(m)], ',') AS detail FROM {sql.values(REMAPS, 'detail, n, m')}")
+def detail_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detail spread over a pronunciation of another length."""
+    rows = [(n, m, ",".join(str(int(x)) for x in proportional(d, [""] * n, [""] * m))) for d, n, m in REMAPS]
+    return spark.createDataFrame(rows, "n int, m int, detail string")
+
+
+@query(f"WITH {sql.WORDS}, c AS (SELECT word, count(*) AS n FROM tok GROUP BY word) SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS rank FROM c")
+def frequency_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique ranks over all words, by counted ranges."""
+    return build.ranks(vocabulary(spark, sf_dir).select("word", "n"), F.desc("n"), F.col("word"))
+
