@@ -53,9 +53,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows in an Arrow batch of whole texts: with texts of a few thousand characters, a few megabytes on either side.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands whole texts to Python in batches of BATCH_ROWS rows at most."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (bigint) and text (string) of a documents table, without any other column."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def arrow_map(df: DataFrame, rows: Callable[[Iterable[tuple]], Iterator[tuple]], schema: str, size: int = 2048) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, arrow_map, texts
+from .common import alnum_words, arrow_map, small_batches, texts
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 16 << 20
 SPANS = "array<struct<start:bigint,length:bigint>>"
@@ -183,7 +183,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     A row is judged by its own text where it is, without a join; null and empty texts stay.
     """
     at = docs.columns.index("text")
-    out = docs
+    out = small_batches(docs)
     for shared in windows_by_block(docs, benchmark, window, block_bytes):
         out = out.mapInArrow(clean_rows(shared, at), docs.schema)
     return out

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small_batches, texts
 
 #: Bounds of the labelled sample: documents and letters for each language.
 SAMPLE_DOCS, SAMPLE_LETTERS = 200, 24_000
@@ -260,4 +260,4 @@ def accepted(docs: DataFrame) -> DataFrame:
             keep = [lang != UNKNOWN for lang, _ in m.predict(b.column(at).to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ from .common import arrow_map, cut, texts
 
 CAPACITY, END_ID = 2048, 1
 #: Distinct words whose ids a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: The linear program is solved to within this share of its optimum (the bound is optimum >= value / best pattern's worth).
 GAP = 1e-3
 
@@ -41,9 +41,8 @@ class WordIds:
 
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path, self.slow = path, None
         model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         end = b"\xff"  # no byte of UTF-8: stands for a word's end
@@ -55,10 +54,18 @@ class WordIds:
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.known: dict[bytes, bytes] = {}
 
+    def tokenizer(self):
+        """The tokenizer itself, loaded where a word needs it."""
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow
+
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if max(text) > "ſ" or "İ" in text or "<|" in text:
-            ids = self.slow.encode(text, add_special_tokens=False).ids
+            ids = self.tokenizer().encode(text, add_special_tokens=False).ids
         else:
             ids = [i - 1 for p in self.pieces(text.lower()) for i in self.merge(p.encode() + b"\xff")]
         return np.array(ids, "<u4").tobytes()

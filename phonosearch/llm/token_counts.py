@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, texts
 
 #: Distinct pieces whose token lengths a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 
 class Spans:
