@@ -185,6 +185,23 @@ def test_linked_exclusion_and_particles(spark):
         linked(spark, Request("k", ("k",)))
 
 
+def test_korean_pairs_are_the_formula(spark):
+    """The registered query's rows against the formula, one edge and side at a time."""
+    from phonosearch.plans.build_queries import linked_search_korean
+
+    weight = lambda query: [2.5 if p in VOWELS else 1.0 for p in query]
+    side = lambda part, query: plain(part, query, weight(query), 2.5, 1.0) if len(part) == len(query) else 0.0
+    expected = {}
+    for first, second in EDGES:
+        a, b = SURFACES[first], SURFACES[second]
+        left, right = side(a[2].split()[-2:], ["k", "a"]), side(b[2].split()[:2], ["n", "a"])
+        if a[3] is None and left > 40 and right > 40:
+            expected[f"{a[1][:-1]}[{a[1][-1]} {b[1][0]}]{b[1][1:]}"] = (left + right) / 2
+    got = {r.display: r.score / 1000 for r in linked_search_korean(spark, "").collect()}
+    assert got == pytest.approx(expected, abs=5.01e-4)
+    assert len(got) > 1
+
+
 def test_split_points():
     places = lambda p: [x[0] for x in linked_search.split_points(p)]
     assert places(list("kana")) == [1, 2, 3] and places(list("ktsn")) == []
