@@ -26,6 +26,19 @@ KEY = "phonosearch-surrogates"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 SECRET = r"(?:password|passwd|secret|token|api_key|apikey|access_key)"
 MALE, FEMALE = r"(?:Mr|Herr|Señor|Sr|Monsieur|Sir)", r"(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme)"
+#: E.164: 7 to 15 digits behind a plus, each with one separator or bracket at most on either side; else groups of 2 to 4 digits.
+INTERNATIONAL = (
+    r"(?<![0-9A-Za-z+])\+[0-9](?:[ .-]?\(?[0-9]\)?){6,14}(?![0-9])"
+    r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])"
+)
+#: (415) 555 0101, 415-555-0101 with any separator, and 9 to 11 digits in groups behind a zero (0170 1234567, 01 42 68 53 00).
+NATIONAL = (
+    r"(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9]|[0-9][.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"
+    r"|(?<![0-9A-Za-z.,+-])(?=(?: ?[0-9]){9,11}(?! ?[0-9]))0[1-9][0-9]{0,3}(?: [0-9]{2,8}){1,4}(?![0-9]|[.,-][0-9])"
+)
+#: Country codes as the ITU gives them, so that a number without separators is the same value; else what stands before a separator.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}|[0-9]{1,2}(?=[ .(-]))"
 #: Kind and pattern, in the order in which they are tried. Repeats are possessive or bounded: long runs of letters cost one look.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
@@ -35,7 +48,7 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])(?:[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    "phone": rf"{INTERNATIONAL}|{NATIONAL}",
     "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?",
 }
 PATTERN = "|".join(PATTERNS.values())
@@ -68,7 +81,7 @@ def kept_part(kind: Column, entity: Column) -> Column:
         F.when(kind == "name", F.regexp_extract(entity, r"^\S+ ", 0))
         .when(kind == "secret", F.regexp_extract(entity, rf"^(?i:{SECRET}) ?[=:] ?[\"']?", 0))
         .when(kind == "access_key", F.substring(entity, 1, 4))
-        .when(kind == "phone", F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[ .(-])", 0))
+        .when(kind == "phone", F.regexp_extract(entity, COUNTRY, 0))
         .when(kind == "card", F.substring(entity, 1, 1))
         .when(kind == "iban", F.substring(entity, 1, 2))
         .otherwise("")
