@@ -10,7 +10,8 @@ distinct words precede each next word, which a second shuffle sums by shards of
 Model. p(w | v) = (c(vw) - D(c(vw))) / c(v) + g(v) p(w), p(w) = (N(w) - D'(N(w))) / N + g' / (V + 1), where
 N(w) counts the distinct words before w, D and D' are the three discounts of each order, estimated from
 its counts of counts, g gives back what was taken, and V + 1 are the training tokens' distinct values and one
-for all unknown. Pairs below ``least_pair`` are not stored: their mass goes to g(v), so p sums to one still.
+for all unknown. All pairs are stored; a caller that sets ``least_pair`` higher leaves out
+the pairs below it, whose mass goes to g(v), so p sums to one still.
 
 Storage. Shards are files in the folder that the session's cluster shares: sorted hashes, then the values.
 Workers map them into memory and look hashes up by binary search; a worker's pages are the system's to keep or drop.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut, mix, scratch, space_words, texts
 
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-SHARDS, LEAST_PAIR = 48, 2
+SHARDS, LEAST_PAIR = 48, 1
 #: Tokens that a task holds before it emits their blocks.
 HOLD = 3_000_000
 
