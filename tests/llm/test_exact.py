@@ -330,3 +330,38 @@ def test_generalised_automaton(sequences, text):
 
 def test_digest_columns(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.array_join(F.array().cast("array<string>"), ","), 256)).first()[0]
+
+
+def test_plan_of_all_classes_is_within_a_thousandth_of_the_linear_program():
+    tops = packing.class_tops()
+    rng = np.random.default_rng(3)
+    mixed = [rng.integers(1, 10**6, len(tops)), (10 ** rng.uniform(0, 6, len(tops))).astype(int) + 1, np.where(tops % 3 == 0, 10**5, 7)]
+    for demand in mixed:
+        patterns, x, bound = packing.solve(demand.astype(float), tops, 2048)
+        assert np.allclose(patterns.T @ x, demand) and (patterns @ tops <= 2048).all()
+        # the bound is that of prices at which no pattern is worth more than one: by a plain dynamic program
+        prices = np.linalg.solve(patterns.astype(float), np.ones(len(tops)))
+        best = [0.0]
+        for c in range(1, 2049):
+            best.append(max([best[c - 1], *(best[c - s] + v for v, s in zip(prices, tops.tolist()) if s <= c)]))
+        assert x.sum() <= 1.001 * (demand @ prices) / best[2048] * (1 + 1e-5) and x.sum() <= 1.0011 * bound
+        made = packing.plan(dict(enumerate(demand.tolist())), tops)
+        assert sum(use for _, use in made) <= x.sum() + len(tops)
+        assert Counter({c: sum(use * held.get(c, 0) for held, use in made) for c in range(len(tops))}) == dict(enumerate(demand.tolist()))
+
+
+def test_packing_ignores_how_a_class_is_dealt(spark, vocabulary):
+    """Ranked in many parts or in one, each sequence is gapless and each id lies in one piece; clashing column names are not looked at."""
+    texts = [" ".join(["alpha beta"] * n) for n in (3, 3, 3, 900, 2048, 5000)] * 30 + [None, "", "x"]
+    docs = docs_of(spark, texts, **{"class": 1, "salt": 2, "rank": 3, "slot": 4})
+    for ranked in (5, 10**6):
+        got = packing.pack(docs, vocabulary, ranked=ranked).orderBy("sequence_id", "offset").collect()
+        fill = Counter()
+        for r in got:
+            assert r.offset == fill[r.sequence_id]
+            fill[r.sequence_id] += r.length
+        assert sorted(fill) == list(range(len(fill))) and max(fill.values()) <= 2048
+        by_doc = Counter()
+        for r in got:
+            by_doc[r.doc_id] += r.length
+        assert all(by_doc[r.doc_id] == r.doc_tokens for r in got)
