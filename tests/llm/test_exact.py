@@ -323,8 +323,8 @@ def test_generalised_automaton(sequences, text):
             s, n = auto.go[s][c], n + 1
         longest = max((k for k in range(1, i + 2) if tuple(text[i + 1 - k : i + 1]) in held), default=0)
         assert n == longest
-        for t, end in auto.ends[s].items():
-            assert sequences[t][end + 1 - n : end + 1] == text[i + 1 - n : i + 1]
+        for t, ends in auto.ends[s].items():
+            assert ends == [e for e in range(n - 1, len(sequences[t])) if sequences[t][e + 1 - n : e + 1] == text[i + 1 - n : i + 1]]
         assert {t for t, q in enumerate(sequences) if n and any(q[k : k + n] == text[i + 1 - n : i + 1] for k in range(len(q)))} == (set(auto.ends[s]) if n else set())
 
 
