@@ -30,24 +30,49 @@ def space_words(text: str | None) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, a temporary one is set.
+    Only where neither the session nor its context names one, as in tests on one machine, a temporary one is set.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="phonosearch-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="phonosearch-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(at)
     return at.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from files in the shared folder; their lineage ends there."""
-    spark = df.sparkSession
-    shared_dir(spark)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers up to which a join broadcasts them.
+SMALL = 1_000_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df as a join's side: broadcast if it has `most` rows at most, which are counted in the shared folder, else as it is."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def rows_of(docs: DataFrame, own: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and hash of the text (th) are kept, once each, with all their columns.
+
+    own has doc_id and th of every row, kept those that stay. Rows are judged where they are if few go; of docs only equal rows are ever
+    brought together.
+    """
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["th"] == y["th"])
+    rows = cut(own.groupBy("doc_id", "th").agg(F.count("*").alias("times")))
+    gone = small(rows.join(kept, same(rows, kept), "left_anti").select("doc_id", "th"))
+    again = small(rows.where("times > 1").join(kept, same(rows, kept), "left_semi").select("doc_id", "th"))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    out = out.join(gone, same(out, gone), "left_anti")
+    if not again.isEmpty():
+        more = out.join(again, same(out, again), "left_semi").dropDuplicates(["doc_id", "th"])
+        out = out.join(again, same(out, again), "left_anti").unionByName(more)
+    return out.select("own.*")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -3,9 +3,10 @@
 A fingerprint has 64 bits, that is eight bytes at eight positions. Two fingerprints that differ in at
 most ``max_bits`` bits differ in at most that many bytes, so they share at least ``8 - max_bits``
 (position, byte) entries: the guaranteed minimum. The inverted index posts every distinct fingerprint
-under each combination of that many entries, so that a pair which reaches the minimum meets in a
-posting list and a pair that doesn't never does. Within a list the shared entries of a pair are tallied
-again, the minimum is required and the differing bits are counted.
+under combinations of one entry fewer than that, as few combinations as it takes for every choice of the minimum to
+hold one: a pair that reaches the minimum meets in a posting list. Within a list the shared entries of a pair are
+tallied, pairs below the minimum go (by chance most share no more than what brought them together), and of the
+others the differing bits are counted.
 
 Exact copies are one fingerprint, so they never meet. A list emits a spanning forest of its links, not
 its pairs: a breadth-first search compares a fingerprint with those that are not yet reached. Lists
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, space_words, texts
+from .common import arrow_map, cut, rows_of, small, space_words, texts
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 
@@ -201,16 +202,23 @@ def tiles_to_links(least: int, max_bits: int):
     return run
 
 
+def positions(least: int) -> list[tuple[int, ...]]:
+    """Combinations of least - 1 byte positions (one at least) such that any `least` of the eight positions hold one of them: the greedy choice."""
+    open_sets = [set(c) for c in combinations(range(8), least)]
+    out = []
+    while open_sets:
+        out.append(max(combinations(range(8), max(1, least - 1)), key=lambda c: sum(s.issuperset(c) for s in open_sets)))
+        open_sets = [s for s in open_sets if not s.issuperset(out[-1])]
+    return out
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = 1 << 16) -> DataFrame:
     """u, v bigint: links between distinct fingerprints (column fp) that connect what all links connect."""
     least = 8 - max_bits
     if least < 1:
         raise ValueError("max_bits must be below 8, the number of byte positions")
-    masks = []
-    for c in combinations(range(8), least):
-        m = sum(0xFF << (8 * p) for p in c)
-        masks.append(m - (1 << 64) if m >> 63 else m)
-    posts = fps.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))).alias("k")).select("k", "fp")
+    masks = [F.lit(m - (1 << 64) if m >> 63 else m) for m in (sum(0xFF << (8 * p) for p in c) for c in positions(least))]
+    posts = fps.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(m)) for i, m in enumerate(masks)))).alias("k")).select("k", "fp")
     found = cut(posts.repartition("k").sortWithinPartitions("k").mapInArrow(lists_to_links(least, max_bits, bucket_rows), LINK_DDL))
     short = found.where("block is null").select("u", "v")
     long = found.where("block is not null")
@@ -261,21 +269,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     not looked at. An empty table gives an empty result.
     """
     own = cut(fingerprints(docs, shingle))
-    reps = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    reps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("times")))
     linked = components(links(reps.select("fp"), max_bits)).withColumnRenamed("node", "fp")
-    linked = linked.join(reps, "fp")
-    named = linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("least_id").alias("id")), "root").select("fp", "id")
-    classes = reps.join(named, "fp", "left").select("fp", F.coalesce("id", "least_id").alias("component_id"))
-    return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = cut(linked.join(reps.select("fp", "least_id"), "fp"))
+    named = linked.join(linked.groupBy("root").agg(F.min("least_id").alias("id")), "root").select("fp", "id")
+    # only fingerprints with copies or links name their rows; a row without either is its own component
+    shared = reps.join(named, "fp", "left").where("times > 1 or id is not null").select("fp", F.struct(F.coalesce("id", "least_id").alias("id")).alias("found"))
+    component = F.when(F.col("found").isNull(), F.col("doc_id")).otherwise(F.col("found.id"))
+    return own.join(small(shared), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's id: one document of each group.
+    """One row of docs for each component, with all columns: the one with the smallest doc_id.
 
-    Rows that repeat a kept doc_id are one document and stay once. No component can name a row without
-    doc_id: of those, one of each text stays.
+    Of rows that share that id the one with the smaller hash of its text stays; rows without doc_id come last. Equal rows
+    (doc_id and text) are one and stay once. An empty table gives an empty result; columns other than doc_id and text are
+    kept, whatever their names.
     """
-    ids = near_duplicates(docs)
-    kept = ids.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_doc_id_")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("bigint") == F.col("_kept_doc_id_")).drop("_kept_doc_id_").dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    own = cut(arrow_map(texts(docs, F.xxhash64("text").alias("th")), lambda read: ((i, th, fingerprint(t)) for i, t, th in read), "doc_id bigint, th bigint, fp bigint", 20_000))
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    reps = cut(own.groupBy("fp").agg(F.min(head).alias("head")))
+    linked = cut(components(links(reps.select("fp"))).withColumnRenamed("node", "fp").join(reps, "fp"))
+    named = linked.join(linked.groupBy("root").agg(F.min("head").alias("group")), "root").select("fp", "group")
+    kept = reps.join(named, "fp", "left").where("group is null or head = group").select("head.doc_id", "head.th")
+    return rows_of(docs, own, kept)

@@ -365,3 +365,26 @@ def test_packing_ignores_how_a_class_is_dealt(spark, vocabulary):
         for r in got:
             by_doc[r.doc_id] += r.length
         assert all(by_doc[r.doc_id] == r.doc_tokens for r in got)
+
+
+def test_every_pair_that_reaches_the_minimum_meets_in_a_list():
+    from itertools import combinations
+
+    for least in range(1, 9):
+        posted = simhash.positions(least)
+        assert len(set(posted)) == len(posted) and all(any(set(p) <= set(c) for p in posted) for c in combinations(range(8), least))
+    assert {len(p) for p in simhash.positions(4)} == {3} and len(simhash.positions(4)) < 30
+    # a pair that shares three bytes meets, but is ruled out by the tally though it differs in few bits
+    one = np.array([0], np.int64)
+    assert not simhash.close(one, np.array([0x0101010101], np.int64), 4, 64)[0]
+    assert simhash.close(one, np.array([0x01010101], np.int64), 4, 4)[0]
+
+
+def test_first_rows_of_components(spark):
+    """Texts under one doc_id are judged each; equal rows are one; rows without an id come last."""
+    rng = random.Random(12)
+    one, two = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(2))
+    rows = [(3, one, "a"), (3, two, "b"), (4, one, "c"), (3, one, "a"), (None, two, "d"), (None, "alone here", "e"), (None, "alone here", "e"), (8, None, "f"), (7, " ", "g")]
+    df = spark.createDataFrame([(i, t, x, 1) for i, t, x in rows], "doc_id bigint, text string, own string, fp int")
+    assert sorted(map(tuple, simhash.keep_first(df).collect()), key=str) == sorted([(3, one, "a", 1), (3, two, "b", 1), (None, "alone here", "e", 1), (7, " ", "g", 1)], key=str)
+    assert simhash.keep_first(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0

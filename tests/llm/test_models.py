@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from phonosearch.llm import kneser_ney, langid, ordinal, pii, token_counts
+from phonosearch.llm.common import mix
 
 DOCS = "doc_id bigint, text string"
 ODD = [None, "", " \n", "one", "Ω 12 !", "x" * 4000, "퟿\U0001f600"]
@@ -86,66 +87,106 @@ def test_language_id(spark):
 # ---- Language model
 
 
-def slow_model(texts):
-    """p(w | v) of the bigram model by dictionaries."""
-    pairs, uses = Counter(), Counter()
-    for t in texts:
-        w = [*t.lower().split(), "</s>"]
-        uses.update(w)
-        pairs.update(zip(["<s>", *w], w))
-    before, context = Counter(w for _, w in pairs), Counter()
-    for (v, _), n in pairs.items():
-        context[v] += n
+def slow_model(training):
+    """p(w | u v) by the formulas, and each token's uses."""
+    uses, tri, uv, vw, mid, before = Counter(), Counter(), Counter(), Counter(), Counter(), Counter()
+    for t in training:
+        w = ["<s>", "<s>", *t.lower().split(), "</s>"]
+        uses.update(w[2:])
+        tri.update(zip(w, w[1:], w[2:]))
+    for (u, v, w), n in tri.items():
+        uv[u, v] += n
+        vw[v, w] += 1
+        mid[v] += 1
+    for _, w in vw:
+        before[w] += 1
     d = lambda counts: [0.0, *kneser_ney.discounts([sum(x == k for x in counts.values()) for k in (1, 2, 3, 4)])]
-    d1, d2 = d(before), d(pairs)
-    v = len(uses)
-    spread = sum(d1[min(n, 3)] for n in before.values()) / len(pairs) / (v + 1)
-    kept = {k: n for k, n in pairs.items() if n >= kneser_ney.LEAST_PAIR}
-    back = defaultdict(lambda: 1.0)
-    for (a, _), n in kept.items():
-        back[a] -= (n - d2[min(n, 3)]) / context[a]
-
-    def p(a, w):
-        lower = (before[w] - d1[min(before[w], 3)]) / len(pairs) + spread
-        n = kept.get((a, w), 0)
-        return ((n - d2[min(n, 3)]) / context[a] if n else 0) + back[a] * lower
-
-    return p, uses, v
-
-
-def test_language_model(spark):
+    d1, d2, d3 = d(before), d(vw), d(tri)
+    cut = lambda d, n: d[min(n, 3)]
+    v_size, pairs = len(uses), len(vw)
+    spread = sum(cut(d1, n) for n in before.values()) / pairs / (v_size + 1)
+    give2, give3 = defaultdict(float), defaultdict(float)
+    for (v, _), n in vw.items():
+        give2[v] += cut(d2, n) / mid[v]
+    for (u, v, _), n in tri.items():
+        give3[u, v] += cut(d3, n) / uv[u, v]
+
+    def p(u, v, w):
+        one = (before[w] - cut(d1, before[w])) / pairs + spread
+        two = (vw[v, w] - cut(d2, vw[v, w])) / mid[v] + give2[v] * one if mid[v] else one
+        return (tri[u, v, w] - cut(d3, tri[u, v, w])) / uv[u, v] + give3[u, v] * two if uv[u, v] else two
+
+    return p, uses, v_size
+
+
+@pytest.mark.parametrize("shards, hot, sample", [(5, 0.1, 10**6), (1, 1.0, 10), (7, 0.0, 10**6)])
+def test_language_model(spark, shards, hot, sample):
+    """Every token's probability is that of the formulas, whichever words have codes or are dealt as hot ones."""
     rng = random.Random(3)
     words = "a b c d e f g h".split()
-    texts = [*(" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(120)), None, "", "A \t zzz qqq", "zzz"]
+    texts = [*(" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(120)), *["a b c a b d"] * 300, None, "", "A \t zzz qqq", "zzz", "b zzz", "a zzz zzz b"]
     df = docs_of(spark, texts, score=1.0, shard=2)
-    model = kneser_ney.train(df, shards=5)
+    model = kneser_ney.train(df, shards=shards, hot=hot, sample=sample)
     got = {r.doc_id: r for r in kneser_ney.perplexity(df, model).collect()}
     training = [t or "" for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
     p, uses, v = slow_model(training)
     total = sum(uses.values())
+    assert (model["tokens"], model["vocabulary"]) == (total, v)
     for i, t in enumerate(texts):
         w = [*(t or "").lower().split(), "</s>"]
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(uses[x] > 0 for x in w), total)
         assert r.base_score == pytest.approx(sum(math.log10((uses[x] + 1) / (total + v + 1)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(a, x)) for a, x in zip(["<s>", *w], w)))
-    for a in ("<s>", "a", "zzz", "never"):
-        assert sum(p(a, x) for x in uses) + p(a, "unknown") == pytest.approx(1)
+        assert r.score == pytest.approx(sum(math.log10(p(a, b, x)) for a, b, x in zip(["<s>", "<s>", *w], ["<s>", *w], w)))
+    for a, b in (("<s>", "<s>"), ("<s>", "a"), ("a", "b"), ("zzz", "qqq"), ("never", "a"), ("a", "never"), ("b", "zzz")):
+        assert sum(p(a, b, x) for x in uses) + p(a, b, "unknown") == pytest.approx(1)
     kneser_ney.remove(model)
-    empty = kneser_ney.train(df.limit(0), shards=3)
-    assert {r.score for r in kneser_ney.perplexity(df, empty).collect()} == {0.0}
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5), st.integers(1, 600)), min_size=1, max_size=30))
-def test_blocks_round_trip(rows):
-    a, b, n = (np.array(c) for c in zip(*rows))
-    first, second, total = kneser_ney.counted(a.astype(np.uint64), b.astype(np.uint64), n)
-    expected = Counter()
-    for x, y, k in rows:
-        expected[x, y] += k
-    got = kneser_ney.unpack(kneser_ney.pack(first, second, total))
-    assert dict(zip(zip(got[0].tolist(), got[1].tolist()), got[2].tolist())) == expected
+def test_language_model_of_nothing(spark):
+    df = docs_of(spark, ["a b", None])
+    empty = kneser_ney.train(df.limit(0), shards=3)
+    assert {r.score for r in kneser_ney.perplexity(df, empty).collect()} == {0.0}
+    assert kneser_ney.perplexity(df.limit(0), empty).count() == 0
+
+
+def test_a_held_out_text_alone_and_repeated_rows(spark):
+    """Equal rows count and are scored each; one short text makes a model."""
+    df = spark.createDataFrame([(0, "x y"), (0, "x y"), (None, "x z")], DOCS)
+    model = kneser_ney.train(df, shards=2)
+    p, uses, _ = slow_model(["x y", "x y", "x z"])
+    for r in kneser_ney.perplexity(df, model).collect():
+        w = ["x", "y" if r.doc_id == 0 else "z", "</s>"]
+        assert r.train_tokens == 9 and r.score == pytest.approx(sum(math.log10(p(a, b, x)) for a, b, x in zip(["<s>", "<s>", *w], ["<s>", *w], w)))
+
+
+WORD_HASHES = st.integers(0, (1 << 64) - 1)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), WORD_HASHES, WORD_HASHES, st.integers(1, 600)), min_size=1, max_size=30), st.lists(WORD_HASHES, max_size=5), st.sampled_from([5, 7, 8]))
+def test_blocks_round_trip(rows, more, width):
+    rows = sorted(rows)
+    coded = np.unique(np.array(more + [r[1] for r in rows[::3]] + [r[2] for r in rows[::2]], np.uint64))
+    layout = kneser_ney.Layout(3, width, coded, np.zeros(0, np.uint64))
+    v, u, w, n = (np.array(c, np.uint64) for c in zip(*rows))
+    got = kneser_ney.unpack(kneser_ney.pack(u, v, w, n.astype(np.int64), layout), layout)
+    assert [x.tolist() for x in got] == [layout.short(u).tolist(), v.tolist(), layout.short(w).tolist(), n.tolist()]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.sets(WORD_HASHES, max_size=200), st.lists(WORD_HASHES, max_size=20))
+def test_table_finds_its_keys(keys, others):
+    keys = np.sort(mix(np.array(sorted(keys), np.uint64)))  # keys are hashes: those of a test must not lie close together
+    bits, arrays = kneser_ney.Table.arrays(keys, np.arange(len(keys), dtype=np.uint64))
+    raw = b"".join(x.tobytes() for x in arrays)
+    t = kneser_ney.Table(raw, 0, len(keys), bits, (np.uint64,))
+    asked = np.array([*keys.tolist(), *mix(np.array(others, np.uint64)).tolist()], np.uint64)
+    if len(keys) and len(asked):
+        there, at = t.find(asked)
+        assert there[: len(keys)].all() and t.values[0][at[: len(keys)]].tolist() == list(range(len(keys)))
+        same = {int(k) >> (32 - bits) for k in keys}
+        assert there.tolist() == [int(x) >> (32 - bits) in same for x in asked]
 
 
 # ---- Personal data
