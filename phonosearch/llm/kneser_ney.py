@@ -64,12 +64,16 @@ def tokens(text: str | None) -> np.ndarray:
     return out
 
 
-def trigrams(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """u, v, w of every token w of some texts."""
-    w = np.concatenate(held)
-    v = np.concatenate([np.concatenate(([START], t[:-1])) for t in held])
-    u = np.concatenate([np.concatenate(([START, START], t))[: len(t)] for t in held])
-    return u, v, w
+def shifted(x: np.ndarray, starts: np.ndarray, fill) -> np.ndarray:
+    """What stands before each token, or fill at a text's start; every text has a token."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[starts] = fill
+    return out
+
+
+def text_starts(held: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum([len(t) for t in held])[:-1])).astype(np.int64)
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -82,6 +86,12 @@ def starts_of(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.zeros(0, np.int64)
 
 
+def by_shard_and(shard: np.ndarray, h: np.ndarray, shards: int) -> np.ndarray:
+    """The order by shard and, within it, by as many of the hash's first bits as one sorted number holds besides."""
+    bits = np.uint64(max(1, (shards - 1).bit_length()))
+    return np.argsort((shard.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
+
+
 def member(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether h is among the sorted keys."""
     if not len(keys):
@@ -129,12 +139,17 @@ def whole(raw, n: int, width: int, at: int) -> np.ndarray:
     return out.reshape(-1).view(">u8").astype(np.uint64)
 
 
-def pack_words(h: np.ndarray, layout: Layout) -> list[bytes]:
-    """Codes of two bytes, and the other words' short hashes."""
-    code = np.full(len(h), ESCAPE, np.uint16)
+def codes_of(word: np.ndarray, layout: Layout) -> np.ndarray:
+    code = np.full(len(word), ESCAPE, np.uint16)
     if len(layout.coded):
-        known = member(h, layout.coded)
-        code[known] = np.searchsorted(layout.coded, h[known])
+        at = np.minimum(np.searchsorted(layout.coded, word), len(layout.coded) - 1)
+        known = layout.coded[at] == word
+        code[known] = at[known]
+    return code
+
+
+def pack_words(h: np.ndarray, code: np.ndarray, layout: Layout) -> list[bytes]:
+    """Codes of two bytes, and the other words' short hashes."""
     rest = h[code == ESCAPE]
     return [np.array([len(h), len(rest)], np.uint64).tobytes(), code.tobytes(), cut_bytes(rest, layout.width)]
 
@@ -163,12 +178,12 @@ def unpack_counts(raw: bytes, at: int) -> tuple[np.ndarray, int]:
     return out, at + 16 + 12 * more
 
 
-def pack(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, layout: Layout) -> bytes:
+def pack(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, u_code: np.ndarray, w_code: np.ndarray, layout: Layout) -> bytes:
     """Distinct trigrams sorted by v as a block: each v with how many it has, then the words around it and the counts."""
     at = starts_of(v)
     head = np.array([len(at)], np.uint64)
     sizes = np.diff(np.append(at, len(v))).astype(np.uint32)
-    return b"".join([head.tobytes(), v[at].tobytes(), sizes.tobytes(), *pack_words(u, layout), *pack_words(w, layout), *pack_counts(n)])
+    return b"".join([head.tobytes(), v[at].tobytes(), sizes.tobytes(), *pack_words(u, u_code, layout), *pack_words(w, w_code, layout), *pack_counts(n)])
 
 
 def unpack(raw: bytes, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -201,20 +216,24 @@ def blocks(docs: DataFrame, shared, layout_of) -> DataFrame:
         size = 0
 
         def emit():
-            u, v, w = trigrams(held)
-            word, uses = np.unique(w, return_counts=True)
+            w, starts = np.concatenate(held), text_starts(held)
+            word, to, uses = np.unique(w, return_inverse=True, return_counts=True)
+            v = shifted(w, starts, START)
+            u = shifted(v, starts, START)
+            w_code = codes_of(word, layout)[to]
+            u_code = shifted(shifted(w_code, starts, ESCAPE), starts, ESCAPE)
             for s, part in by_shard(shard_of(word, layout.shards), layout.shards):
                 yield s, USES, b"".join([word[part].tobytes(), uses[part].astype(np.uint32).tobytes()])
             key = triple_key(u, v, w)
             order = np.argsort(key)
             at = starts_of(key[order])
             n, first = np.diff(np.append(at, len(order))), order[at]
-            u, v, w = u[first], v[first], w[first]
-            shard = layout.of_context(layout.short(u), v)
-            order = np.lexsort((v, shard))
-            u, v, w, n = u[order], v[order], w[order], n[order]
+            shard = layout.of_context(layout.short(u[first]), v[first])
+            order = by_shard_and(shard, v[first], layout.shards)
+            first = first[order]
+            cols = (u[first], v[first], w[first], n[order], u_code[first], w_code[first])
             for s, part in by_shard(shard[order], layout.shards):
-                yield s, TRIGRAMS, pack(u[part], v[part], w[part], n[part], layout)
+                yield s, TRIGRAMS, pack(*(c[part] for c in cols), layout)
 
         for doc_id, text in read:
             if held_out_crc(doc_id):
@@ -307,14 +326,15 @@ class Table:
         bits = np.uint64(self.bits)
         first = (keys >> (np.uint64(64) - bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         rest = ((keys << bits) >> np.uint64(32)).astype(np.uint32)
-        low, end = self.index[first].astype(np.int64), self.index[first + 1].astype(np.int64)
-        high = end.copy()
-        last = len(self.rest) - 1
-        for _ in range(int((end - low).max(initial=0)).bit_length()):
-            at = (low + high) >> 1
-            less = (self.rest[np.minimum(at, last)] < rest) & (at < high)
-            low = np.where(less, at + 1, low)
-            high = np.where(less, high, at)
+        low, end = self.index[first].astype(np.int32 if len(self.rest) < 1 << 30 else np.int64), self.index[first + 1]
+        most = int((end - self.index[first]).max(initial=0))
+        step = 1 << max(0, most.bit_length() - 1)
+        while most and step:
+            at = low + (step - 1)
+            inside = at < end
+            at[~inside] = 0
+            low += (inside & (self.rest[at] < rest)) * low.dtype.type(step)
+            step >>= 1
         there = low < end
         there[there] = self.rest[low[there]] == rest[there]
         return there, low[there]
@@ -404,7 +424,7 @@ def train(docs: DataFrame, shards: int | None = None, shard_bytes: int = SHARD_B
             if is_hot.any():
                 at = np.flatnonzero(is_hot)
                 to = shard_of(w[at], layout.shards)
-                order = np.lexsort((v[at], to))
+                order = by_shard_and(to, v[at], layout.shards)
                 at, to = at[order], to[order]
                 for s, part in by_shard(to, layout.shards):
                     mine = at[part]
@@ -579,7 +599,7 @@ class Arrays:
         return self.mapped(f"{kind}-{s}", make)
 
     def each_shard(self, shards: np.ndarray):
-        order = np.argsort(shards, kind="stable")
+        order = np.argsort(shards.astype(np.uint16) if self.layout.shards < 1 << 16 else shards, kind="stable")
         for s, part in by_shard(shards[order], self.layout.shards):
             yield s, order[part]
 
@@ -634,8 +654,10 @@ class Arrays:
 
     def score(self, held: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
         """(tokens, known tokens, base log10, model log10) of each text."""
-        u, v, w = trigrams(held)
-        ends = np.cumsum([len(t) for t in held])
+        w, starts = np.concatenate(held), text_starts(held)
+        v = shifted(w, starts, START)
+        u = shifted(v, starts, START)
+        ends = np.append(starts[1:], len(w))
         layout, (d1, d2, d3) = self.layout, self.d
         taken = lambda d, n: d[np.minimum(n, 3).astype(np.int64)]
         # the lowest order and the base, of distinct words
@@ -644,32 +666,35 @@ class Arrays:
         lowest = (preceded - taken(d1, preceded)) / self.pairs + self.spread
         n, vocabulary = self.model["tokens"], self.model["vocabulary"]
         base, known = np.log10((count + 1) / (n + vocabulary + 1))[to], (count > 0)[to]
-        # the middle order, of distinct pairs
-        middle, v_to = np.unique(v, return_inverse=True)
-        total, one, two, more = self.back(middle, self.words(middle)[1] > 0)
+        # the middle order, of distinct pairs; the start mark is the last of the middle words
+        middle = np.append(word, START)
+        v_to = shifted(to, starts, len(word))
+        total, one, two, more = self.back(middle, np.append(count > 0, False))
         give = np.where(total > 0, (d2[1] * one + d2[2] * two + d2[3] * more) / np.maximum(total, 1), 1)
+        hot = member(middle, layout.hot)[v_to]
+        us, ws = layout.short(u), layout.short(w)
         key = pair_key(v, w)
-        order = np.argsort(key)
+        order = by_shard_and(shard_of(np.where(hot, w, v), layout.shards), key, layout.shards)
         at = starts_of(key[order])
         first = order[at]
-        pair_to = np.empty(len(key), np.int64)
-        pair_to[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
-        n_pair = self.pair_counts(v[first], layout.short(w[first]))
-        lower = ((n_pair - taken(d2, n_pair)) / np.maximum(total, 1)[v_to[first]] + give[v_to[first]] * lowest[to[first]])[pair_to]
+        n_pair = self.pair_counts(v[first], ws[first])
+        lower = np.empty(len(w))
+        lower[order] = np.repeat((n_pair - taken(d2, n_pair)) / np.maximum(total, 1)[v_to[first]] + give[v_to[first]] * lowest[to[first]], np.diff(np.append(at, len(order))))
         # the highest order, of distinct trigrams
-        us, vs, ws = layout.short(u), layout.short(v), layout.short(w)
+        context = pair_key(us, layout.short(middle)[v_to])
         key = triple_key(us, v, ws)
-        order = np.argsort(key)
+        shard = shard_of(np.where(hot, pair_key(us, v), v), layout.shards)
+        order = by_shard_and(shard, key, layout.shards)
         at = starts_of(key[order])
         first = order[at]
         uses, total, give = np.zeros(len(first)), np.zeros(len(first)), np.ones(len(first))
-        contexts, keys = pair_key(us[first], vs[first]), key[first]
-        for s, mine in self.each_shard(layout.of_context(us[first], v[first])):
+        contexts, keys = context[first], key[first]
+        for s, mine in by_shard(shard[first], layout.shards):
             if s not in self.model["tri"]:
                 continue
             tri, ctx = self.trigram_tables(s)
             uses[mine] = self.counted(tri, keys[mine])
-            left = mine
+            left = np.arange(mine.start, mine.stop)
             for t in ctx:
                 if len(t.rest) and len(left):
                     there, found = t.find(contexts[left])
@@ -689,7 +714,6 @@ class Arrays:
         spread_to = np.repeat(np.arange(len(first)), np.diff(np.append(at, len(order))))
         full[order] = high[spread_to] + give[spread_to] * lower[order]
         full = np.log10(full)
-        starts = np.concatenate(([0], ends[:-1]))
         return list(zip((ends - starts).tolist(), np.add.reduceat(known.astype(np.int64), starts).tolist(), np.add.reduceat(base, starts).tolist(), np.add.reduceat(full, starts).tolist()))
 
 
