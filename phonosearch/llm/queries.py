@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The key of the registered queries, which must give the same rows each time. Anyone who publishes text takes a secret one.
+SURROGATE_KEY = "key of the registered queries"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -32,7 +36,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import replaced
 
-    found = replaced(documents(spark, sf_dir))
+    found = replaced(documents(spark, sf_dir), SURROGATE_KEY)
     return found.select("doc_id", "text", F.col("_entities_").cast("bigint").alias("n_entities"), F.array_join("_kinds_", ",").alias("kinds"))
 
 

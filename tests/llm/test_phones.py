@@ -16,7 +16,7 @@ OTHERS = ["in 2024 there were 1500 of 20000", "01.02.2023 12:30", "2023-01-02",
 @pytest.fixture(scope="module")
 def found(spark):
     texts = [*(f"Call {p}. Then wait." for p in PHONES), *OTHERS, "Call +1 (415) 555-2671 or +1 415 555 2671.", "ask +49 30 1234567 20245 times"]
-    return [r.text for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    return [r.text for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "key").orderBy("doc_id").collect()]
 
 
 @pytest.mark.parametrize("i, phone", list(enumerate(PHONES)))
