@@ -76,13 +76,13 @@ kernel_query("kernel_vowel_only", replace(request_for("anthering"), vowels_only=
 kernel_query("kernel_detail_weights", replace(BASIC, use_detail=True, detail=(1.0, 10.0, 5.0, 1.0, 3.0)))
 
 
-@query(K + sql.scored("x", "layers", "word", "native", kernel.prepare(BASIC.native, None, 2.5, 1.0)) + f" SELECT word, {sql.key('s')} AS score FROM x JOIN layers ON word = k WHERE n >= 20")
+@query(K + sql.scored("x", "layers", "word", "native", kernel.prepare(BASIC.native, None, 2.5, 1.0)) + f" SELECT word, {sql.key('s')} AS score FROM x JOIN layers ON word = k")
 def kernel_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kernel by higher-order functions alone, over the frequent words."""
+    """The kernel by higher-order functions alone."""
     q = kernel.prepare(BASIC.native, None, 2.5, 1.0)
     from phonosearch.plans.testdata import native_code
 
-    return vocabulary(spark, sf_dir).where("n >= 20").select("word", tie_key(kernel.plain_score(native_code(F.col("word")), q)).alias("score"))
+    return vocabulary(spark, sf_dir).select("word", tie_key(kernel.plain_score(native_code(F.col("word")), q)).alias("score"))
 
 
 def search_sql(r: Request) -> str:

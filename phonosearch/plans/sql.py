@@ -61,7 +61,7 @@ def scored(name: str, source: str, key: str, sounds: str, query, parts: str = "b
     """CTEs that end in `name`(key, s): the kernel's score of each row of source, whose list of sounds is given.
 
     Each target sound becomes a list [its weight, its similarity with each query sound]; the alignment's row is
-    folded over them.
+    folded over them, and the window's shares are sums of what leads.
     """
     q, w = list(query.phonemes), list(query.weights)
     m, own = len(q), 0.0
@@ -80,17 +80,20 @@ def scored(name: str, source: str, key: str, sounds: str, query, parts: str = "b
         cell = f"least(least(({cell}) + {d(w[j])}, acc[{j + 2}] + r[1]), acc[{j + 1}] + greatest(r[1], {d(w[j])}) * (1 - r[{j + 2}]))"
     names.append(cell)
     cells = ", ".join(names)
-    window = " + ".join(f"rows[i + {j}][{j + 2}] * {d(w[j])}" for j in range(m))
+    window = " + ".join(f"lead(r[{j + 2}], {j}) OVER w * {d(w[j])}" for j in range(m))  # null beyond the last sound
     dp = f"CASE WHEN greatest(total, {d(own)}) > 0 THEN greatest(1 - dist / greatest(total, {d(own)}), 0) * 100 ELSE 0.0 END"
-    slide = f"CASE WHEN len(rows) >= {m} AND {d(own)} > 0 THEN list_max(list_transform(range(1, len(rows) - {m} + 2), lambda i: ({window}) / {d(own)} * 100)) ELSE 0.0 END"
+    slide = "coalesce(slide, 0.0)"
+    slid = f"SELECT k, max(x) AS slide FROM (SELECT k, ({window}) / {d(own)} * 100 AS x FROM {name}_hit WINDOW w AS (PARTITION BY k ORDER BY i)) GROUP BY k" if own > 0 and m else f"SELECT k, 0.0::DOUBLE AS slide FROM {name}_hit GROUP BY k"
     best = {"both": f"greatest({dp}, {slide})", "alignment": dp, "window": slide}[parts]
     joined = text("".join(q))
     return f"""{name}_sim AS (SELECT a, [CASE WHEN bool_or(va) THEN {d(query.vowel_weight)} ELSE {d(query.consonant_weight)} END, {sims}] AS r, bool_or(va) AS va FROM sim GROUP BY a),
 {name}_src AS (SELECT {key} AS k, {sounds} AS ph FROM {source}),
 {name}_pos AS (SELECT k, unnest(ph) AS p, generate_subscripts(ph, 1) AS i FROM {name}_src),
-{name}_rows AS (SELECT k, list(r ORDER BY i) AS rows, string_agg(p, '' ORDER BY i) AS joined FROM {name}_pos JOIN {name}_sim ON p = a {keep} GROUP BY k),
-{name}_dist AS (SELECT k, rows, joined, list_sum(list_transform(rows, lambda r: r[1])) AS total, list_reduce(list_prepend([{', '.join(map(d, first))}], rows), lambda acc, r: [{cells}])[{m + 1}] AS dist FROM {name}_rows),
-{name} AS (SELECT k, {f"CASE WHEN joined = {joined} THEN 100.0::DOUBLE ELSE {best} END" if shortcut else best} AS s FROM {name}_dist)"""
+{name}_hit AS (SELECT k, i, p, r FROM {name}_pos JOIN {name}_sim ON p = a {keep}),
+{name}_rows AS (SELECT k, list(r ORDER BY i) AS rows, string_agg(p, '' ORDER BY i) AS joined FROM {name}_hit GROUP BY k),
+{name}_win AS ({slid}),
+{name}_dist AS (SELECT k, joined, list_sum(list_transform(rows, lambda r: r[1])) AS total, list_reduce(list_prepend([{', '.join(map(d, first))}], rows), lambda acc, r: [{cells}])[{m + 1}] AS dist FROM {name}_rows),
+{name} AS (SELECT k, {f"CASE WHEN joined = {joined} THEN 100.0::DOUBLE ELSE {best} END" if shortcut else best} AS s FROM {name}_dist JOIN {name}_win USING (k))"""
 
 
 def frequency(score: str, zipf: str, weight: float) -> str:
