@@ -36,8 +36,8 @@ ONSETS = ["k", "k*", "n", "t", "t*", "ɾ", "m", "p", "p*", "s", "s*", "", "tɕ",
 NUCLEI = ["a", "ɛ", "ja", "jɛ", "ʌ", "e", "jʌ", "je", "o", "wa", "wɛ", "we", "jo", "u", "wʌ", "we", "wi", "ju", "ɯ", "ɰi", "i"]
 CODAS = ["", "k", "k", "k", "n", "n", "n", "t", "l", "k", "m", "l", "l", "l", "p", "l", "m", "p", "p", "t", "t", "ŋ", "t", "t", "k", "t", "p", "t"]
 ONSET_LETTERS = ["ㄱ", "ㄲ", "ㄴ", "ㄷ", "ㄸ", "ㄹ", "ㅁ", "ㅂ", "ㅃ", "ㅅ", "ㅆ", "", "ㅈ", "ㅉ", "ㅊ", "ㅋ", "ㅌ", "ㅍ", "ㅎ"]
-NUCLEUS_LETTERS = list("ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ")
-CODA_LETTERS = ["", *"ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"]
+NUCLEUS_LETTERS = ["ㅏ", "ㅐ", "ㅑ", "ㅒ", "ㅓ", "ㅔ", "ㅕ", "ㅖ", "ㅗ", "ㅘ", "ㅙ", "ㅚ", "ㅛ", "ㅜ", "ㅝ", "ㅞ", "ㅟ", "ㅠ", "ㅡ", "ㅢ", "ㅣ"]
+CODA_LETTERS = ["", "ㄱ", "ㄲ", "ㄳ", "ㄴ", "ㄵ", "ㄶ", "ㄷ", "ㄹ", "ㄺ", "ㄻ", "ㄼ", "ㄽ", "ㄾ", "ㄿ", "ㅀ", "ㅁ", "ㅂ", "ㅄ", "ㅅ", "ㅆ", "ㅇ", "ㅈ", "ㅊ", "ㅋ", "ㅌ", "ㅍ", "ㅎ"]
 # Vowels that Korean has, and the letter by which a sound is named.
 KOREAN_VOWELS = ["a", "ɛ", "ʌ", "e", "o", "u", "ɯ", "i", "ja", "jɛ", "jʌ", "je", "jo", "ju", "wa", "wɛ", "we", "wʌ", "wi", "ɰi"]
 SOUND_NAMES = {
@@ -54,8 +54,9 @@ GLIDES = {
 }
 ALLOPHONES = {
     "ø": "we", "y": "wi", "b": "p", "d": "t", "g": "k", "ɡ": "k", "ɦ": "h", "ç": "h", "x": "h", "ɸ": "h", "ɕ": "s", "ɕ*": "s*",
-    "ɲ": "n", "ʎ": "l", "t͡ɕ": "tɕ", "d͡ʑ": "tɕ", "t͡ɕʰ": "tɕʰ", "t͡ɕ*": "tɕ*",
+    "ɲ": "n", "ʎ": "l",
 }
+AFFRICATES = {"t͡ɕ": "tɕ", "d͡ʑ": "tɕ", "t͡ɕʰ": "tɕʰ", "t͡ɕ*": "tɕ*"}
 SIMPLE_VOWELS = ["a", "ɛ", "ʌ", "e", "o", "u", "ɯ", "i"]
 OBSTRUENT_CODAS = ["", "k", "k", "k", "", "", "", "t", "", "k", "", "", "", "", "", "", "", "p", "p", "t", "t", "", "t", "t", "k", "t", "p", "t"]
 

@@ -235,60 +235,82 @@ def plain_score(code: Column, query: Query) -> Column:
     return F.when(code == query.code, 100.0).when((F.length(code) == 0) | F.lit(n == 0), 0.0).otherwise(once)
 
 
+def traced(like: np.ndarray, target: np.ndarray, query: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
+    """The alignment's score and its pairs (target, query), by what each cell of the table chose.
+
+    Of choices within a thousandth a cell pairs, else it leaves the target's sound alone, else the query's.
+    """
+    n, m = like.shape
+    cost = np.zeros((n + 1, m + 1))
+    cost[1:, 0], cost[0, 1:] = np.cumsum(target), np.cumsum(query)
+    pairs, alone = np.zeros((n + 1, m + 1), bool), np.zeros((n + 1, m + 1), bool)
+    for i, t in enumerate(target):
+        for j, q in enumerate(query):
+            both, only = cost[i, j] + max(t, q) * (1 - like[i, j]), cost[i, j + 1] + t
+            least = cost[i + 1, j + 1] = min(cost[i + 1, j] + q, only, both)
+            pairs[i + 1, j + 1], alone[i + 1, j + 1] = both - least < 0.001, only - least < 0.001
+    path, i, j = [], n, m
+    while i and j:
+        if pairs[i, j]:
+            i, j = i - 1, j - 1
+            path.append((i, j))
+        elif alone[i, j]:
+            i -= 1
+        else:
+            j -= 1
+    most = max(target.sum(), query.sum())
+    return (max(1 - cost[n, m] / most, 0) * 100 if most else 0.0), path[::-1]
+
+
 def match_indices(target: list[str], query: Query) -> tuple[float, list[int]]:
     """The score of one target and which of its sounds matched; for the few rows of a page.
 
-    The alignment is traced back preferring substitution, then deletion, else insertion. A pair counts as a match
-    if it is more similar than 0.4 and the query's sound has weight.
+    A pair of the better of alignment and window, the window on a tie, counts as a match if it is more similar than 0.4 and the query's sound has weight.
     """
-    sim, n, m = matrix(), len(target), len(query.phonemes)
+    n, m = len(target), len(query.phonemes)
     if not n or not m:
         return 0.0, []
     if "".join(target) == query.joined:
         return 100.0, list(range(n))
-    t, q = ([INDEX.get(p, len(PHONEMES)) for p in xs] for xs in (target, query.phonemes))
-    tw = [query.vowel_weight if p in VOWELS else query.consonant_weight for p in target]
-    like = lambda i, j: 1.0 if target[i] == query.phonemes[j] else sim[t[i], q[j]]
-    d = np.zeros((n + 1, m + 1))
-    d[1:, 0], d[0, 1:] = np.cumsum(tw), np.cumsum(query.weights)
-    cost = [[max(tw[i], w) * (1 - like(i, j)) for j, w in enumerate(query.weights)] for i in range(n)]
-    for i in range(n):
-        for j, w in enumerate(query.weights):
-            d[i + 1, j + 1] = min(d[i + 1, j] + w, d[i, j + 1] + tw[i], d[i, j] + cost[i][j])
-    most = max(sum(tw), sum(query.weights))
-    dp = max(1 - d[n, m] / most, 0) * 100 if most else 0.0
-    found, i, j = [], n, m
-    while i and j:
-        if abs(d[i, j] - d[i - 1, j - 1] - cost[i - 1][j - 1]) < 0.001:
-            if like(i - 1, j - 1) > 0.4 and query.weights[j - 1] > 0:
-                found.append(i - 1)
-            i, j = i - 1, j - 1
-        elif abs(d[i, j] - d[i - 1, j] - tw[i - 1]) < 0.001:
-            i -= 1
-        else:
-            j -= 1
-    own, best, window = sum(query.weights), 0.0, []
-    for s in range(n - m + 1 if own > 0 else 0):
-        share = 0.0
-        for j, w in enumerate(query.weights):
-            share += like(s + j, j) * w
-        if share / own * 100 > best:
-            best = share / own * 100
-            window = [s + j for j, w in enumerate(query.weights) if like(s + j, j) > 0.4 and w > 0]
-    return (dp, sorted(found)) if dp > best else (best, window)
+    ids = lambda xs: [INDEX.get(p, len(PHONEMES)) for p in xs]
+    like = np.where(np.equal.outer(np.array(target, object), np.array(query.phonemes, object)), 1.0, matrix()[np.ix_(ids(target), ids(query.phonemes))])
+    weight = np.array(query.weights, float)
+    score, found = traced(like, np.array([query.vowel_weight if p in VOWELS else query.consonant_weight for p in target], float), weight)
+    own = sum(query.weights)
+    if own > 0 and n >= m:
+        shares = [sum(like[s + j, j] * w for j, w in enumerate(query.weights)) / own * 100 for s in range(n - m + 1)]
+        if max(shares) >= score:
+            s = int(np.argmax(shares))
+            score, found = shares[s], [(s + j, j) for j in range(m)] if shares[s] > 0 else []
+    elif score <= 0:
+        found = []
+    return score, [i for i, j in found if like[i, j] > 0.4 and weight[j] > 0]
 
 
 def boundary(code: Column, query: Query, side: str) -> Column:
-    """Score of the last (side `end`) or first (`start`) sounds of a sequence, as many as the query has; 0 if it has fewer."""
+    """boundary_best() of one sequence; 0 if it has fewer sounds than the query."""
+    return F.coalesce(boundary_best(F.array(code), query, side), F.lit(0.0))
+
+
+def boundary_best(codes: Column, query: Query, side: str) -> Column:
+    """Best score of the last (side `end`) or first (`start`) sounds of a list of sequences, as many as the query has; null where none has as many."""
     n = len(query.phonemes)
-    part = F.substring(code, -n, n) if side == "end" else F.substring(code, 1, n)
+    part = (lambda c: F.substring(c, -n, n)) if side == "end" else (lambda c: F.substring(c, 1, n))
+    parts = F.transform(F.filter(codes, lambda c: F.length(c) >= n), part)
 
     @F.arrow_udf("double")
-    def run(codes: pa.Array) -> pa.Array:
+    def run(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        if not len(flat):
+            return pa.nulls(len(lists), pa.float64())
         # equal segments are scored once in a batch
-        held = codes.dictionary_encode()
+        held = flat.dictionary_encode()
         top = score_codes(held.dictionary, query, shortcut=False)
         top[np.array([c == query.code for c in held.dictionary.to_pylist()], bool)] = 100.0
-        return pa.array(top[held.indices.to_numpy(zero_copy_only=False)])
+        scores, some = top[held.indices.to_numpy(zero_copy_only=False)], sizes > 0
+        out = np.zeros(len(sizes))
+        out[some] = np.maximum.reduceat(scores, (np.cumsum(sizes) - sizes)[some])
+        return pa.array(out, pa.float64(), mask=~some)
 
-    return F.when(F.length(code) < n, 0.0).otherwise(once(run)(part))
+    return once(run)(parts)

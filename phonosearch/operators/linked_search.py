@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from phonosearch.functions.inventory import INDEX, VOWELS
 from phonosearch.functions.scores import frequency_weight, pair_similarity, tie_key, topic_weight
 from phonosearch.functions.text import bracketed, holds_any
-from phonosearch.operators.kernel import Query, boundary, prepare
+from phonosearch.operators.kernel import Query, boundary_best, prepare
 from phonosearch.plans.request import Request, variants
 
 THRESHOLD = 40.0
@@ -77,12 +77,9 @@ def splits(request: Request, which: str) -> list[Split]:
 
 
 def side_scores(lists: tuple[Column, ...], plan: list[Split], side: str) -> Column:
-    """An array of a word's best boundary score for each split, over the first pronunciation of each of its layers.
-
-    Words with several pronunciations in a layer come as rows of their own (see exploded()).
-    """
+    """An array of a word's best boundary score for each split, over all pronunciations of its layers (each a list of codes)."""
     part = lambda s: s.left if side == "end" else s.right
-    best = lambda s: F.greatest(F.lit(0.0), *(F.coalesce(boundary(c, part(s), side), F.lit(0.0)) for c in lists))
+    best = lambda s: F.greatest(F.lit(0.0), *(F.coalesce(boundary_best(c, part(s), side), F.lit(0.0)) for c in lists))
     return F.array(*(best(s) for s in plan))
 
 
@@ -100,13 +97,14 @@ def normal_texts(surfaces: DataFrame) -> DataFrame:
 def score_sides(units: DataFrame, request: Request, plan: list[Split], layers: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(heads, followers): id with an array of scores, of those that pass for one split at least.
 
-    units: id, text, norm_text, is_particle and the layers as single codes.
+    units: id, text, norm_text, is_particle and the layers, each a code or a list of codes.
     """
     r = request.normalized()
     free = units
     if r.exclude:
         free = free.where(~holds_any(F.col("text"), list(r.exclude)) & ~F.coalesce(holds_any(F.col("norm_text"), list(r.exclude)), F.lit(False)))
-    codes = tuple(F.col(x) for x in layers)
+    kinds = dict(units.dtypes)
+    codes = tuple(F.col(x) if kinds[x].startswith("array") else F.when(F.col(x).isNotNull(), F.array(x)) for x in layers)
     heads = free if r.allow_first_particle else free.where(~F.col("is_particle"))
     passes = lambda c: F.exists(c, lambda s: s > THRESHOLD)
     left = heads.select("id", side_scores(codes, plan, "end").alias("lefts")).where(passes("lefts"))

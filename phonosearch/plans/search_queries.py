@@ -188,7 +188,7 @@ def linked_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = lexicon(spark, sf_dir)
-    return lex.select(F.col("word").alias("id"), F.col("word").alias("text"), F.lit(None).cast("string").alias("norm_text"), F.lit(False).alias("is_particle"), "zipf", F.get("native", F.lit(0)).alias("native"), F.get("koreanized", F.lit(0)).alias("koreanized"))
+    return lex.select(F.col("word").alias("id"), F.col("word").alias("text"), F.lit(None).cast("string").alias("norm_text"), F.lit(False).alias("is_particle"), "zipf", "native", "koreanized")
 
 
 def layers_of(r: Request) -> tuple[str, ...]:

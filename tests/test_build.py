@@ -12,13 +12,25 @@ from phonosearch.operators.resolve import resolve
 from phonosearch.sources import files
 
 
-def test_events():
-    assert events.normalized(list("kuk") + ["ʼ", "a"]) == (["k", "u", "k*", "a"], [])
-    assert events.with_codas("국가", ["k", "u", "k*", "a"]) == (["k", "u", "k", "k*", "a"], 1, True)
-    assert events.normalized(["j", "i"]) == (["i"], []) and events.normalized(["w", "a"]) == (["wa"], [])
-    assert events.normalized(["m", "u", "ɾ"])[0][-1] == "l" and events.normalized(["l", "a"])[0][0] == "ɾ"
-    assert events.normalized(["q"]) == (["q"], ["q"]) and events.normalized([]) == ([], [])
-    assert events.with_codas("ab", ["a", "a"]) == (["a", "a"], 0, False)
+def test_events(spark):
+    cases = [
+        (list("kuk") + ["ʼ", "a"], ["k", "u", "k*", "a"], []), (["j", "i"], ["i"], []), (["w", "a"], ["wa"], []), (["m", "u", "ɾ"], ["m", "u", "l"], []), (["l", "a"], ["ɾ", "a"], []),
+        (["q"], ["q"], ["q"]), ([], [], []), (["ʼ", "a"], ["ʼ", "a"], ["ʼ"]), (["j"], ["j"], ["j"]), (["j", "a", "j", "a"], ["ja", "ja"], []), (["d", "͡", "ʑ", "\u200b", "a", "l"], ["tɕ", "a", "l"], []),
+        (["tʰ", "a"], ["tʰ", "a"], []), (["͡", "a", "a"], ["a͡a"], ["a͡a"]), (["q", "z", "q"], ["q", "z", "q"], ["q", "z"]),
+    ]
+    df = spark.createDataFrame([(i, e) for i, (e, _, _) in enumerate(cases)] + [(99, None)], "i int, e array<string>")
+    got = {r.i: r.n for r in df.select("i", events.normalize(F.col("e")).alias("n")).collect()}
+    assert [(got[i].phonemes, got[i].unknown) for i in range(len(cases))] == [(p, u) for _, p, u in cases] and got[99] is None
+
+
+def test_codas(spark):
+    cases = [
+        ("국가", "k u k* a", "k u k k* a", 1, True), ("ab", "a a", "a a", 0, False), ("가가", "k a k* a", "k a k* a", 0, True), ("국국가", "k u k k* u k* a", "k u k k* u k k* a", 1, True),
+        ("국가", "k u k k* a", "k u k k* a", 0, True), ("국", "k u k*", "k u k*", 0, True), ("국가", "k u k*", "k u k*", 0, False), ("", "", "", 0, False), ("각각각", "k* a k* a k* a k", "k* a k k* a k k* a k", 2, True),
+    ]
+    df = spark.createDataFrame([(i, w, p.split()) for i, (w, p, _, _, _) in enumerate(cases)] + [(99, None, ["a"])], "i int, w string, p array<string>")
+    got = {r.i: r.n for r in df.select("i", events.restore_codas(F.col("w"), F.col("p")).alias("n")).collect()}
+    assert [(" ".join(got[i].phonemes), got[i].restored, got[i].aligned) for i in range(len(cases))] == [x[2:] for x in cases] and got[99] is None
 
 
 def test_sources(spark, tmp_path):

@@ -71,6 +71,42 @@ def test_aligned_transfer(detail, source, target, expected):
     assert aligned(detail, source.split(), target.split()) == expected
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([*SOME, "?"]), min_size=1, max_size=5), st.lists(st.sampled_from([*SOME, "?"]), min_size=1, max_size=5))
+def test_pairing_is_the_cheapest(source, target):
+    """Against all pairings in order, by enumeration."""
+    from itertools import combinations
+
+    from phonosearch.plans.request import GAP, pairing, resemblance
+
+    like = resemblance(source, target)
+    assert all(like[i, j] == pytest.approx(phoneme_similarity(p, q)) for i, p in enumerate(source) for j, q in enumerate(target))
+    cost = lambda pairs: GAP * (len(source) + len(target) - 2 * len(pairs)) + sum(1 - like[i, j] for i, j in pairs)
+    best = min(cost(list(zip(a, b))) for k in range(min(len(source), len(target)) + 1) for a in combinations(range(len(source)), k) for b in combinations(range(len(target)), k))
+    partner = pairing(like)
+    pairs = [(int(i), j) for j, i in enumerate(partner) if i >= 0]
+    assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len(pairs)
+    assert cost(pairs) == pytest.approx(best)
+    moved = aligned(list(range(1, len(source) + 1)), source, target)
+    assert [moved[j] for _, j in pairs] == [i + 1 for i, _ in pairs] and len(moved) == len(target)
+
+
+@settings(max_examples=80, deadline=None)
+@given(sounds, sounds)
+def test_matches_have_the_kernels_score(target, query):
+    q = kernel.prepare(query, None, 2.5, 1.0)
+    score, found = kernel.match_indices(target, q)
+    assert score == pytest.approx(plain(target, query, list(q.weights), 2.5, 1.0)) and found == sorted(set(found)) and all(0 <= i < len(target) for i in found)
+
+
+def test_a_word_of_several_pronunciations_is_one_unit(spark):
+    """One edge between two words of two pronunciations each is one pair, scored by the best of them."""
+    rows = [(0, "x", None, False, [encode("s a k a".split()), encode("t a k a".split())], 1.0), (1, "y", None, False, [encode("n o p i".split()), encode("n a p i".split())], 1.0)]
+    two = spark.createDataFrame(rows, "id int, text string, norm_text string, is_particle boolean, ko array<string>, zipf double")
+    pairs, _ = linked_search.collect(two, spark.createDataFrame([(0, 1)], "first int, second int"), LINK, "ko", ("ko",))
+    assert [(r.first, r.second, r.boundary) for r in pairs.collect()] == [(0, 1, 100.0)]
+
+
 def test_other_transfers_and_lists():
     assert proportional([1, 2], ["a", "b"], list("abcd")) == [1, 1, 2, 2]
     assert proportional([], [], ["a"]) == [1.0] and aligned([], [], ["a"]) == [1.0] and aligned([1], ["a"], []) == []
