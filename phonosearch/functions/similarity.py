@@ -128,3 +128,16 @@ def similarity_table(inventory: DataFrame) -> DataFrame:
     vowel = vowel_similarity(Columns, *(unit(Columns, 1 - x) for x in d[:3]))
     score = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("va") & F.col("vb"), vowel).when(~F.col("va") & ~F.col("vb"), consonant_similarity(Columns, *d)).otherwise(0.0)
     return a.crossJoin(F.broadcast(b)).select("a", "b", score.alias("s"))
+
+
+def load_config(spark: SparkSession, path: str) -> Config:
+    """A Config from a JSON object with its fields; fields that are left out keep their values, unknown ones and falling tiers are errors."""
+    import json
+    from dataclasses import fields
+
+    given = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    known = {f.name for f in fields(Config)}
+    if unknown := sorted(set(given) - known):
+        raise ValueError(f"no such fields: {', '.join(unknown)}")
+    tuples = lambda x: tuple(map(tuples, x)) if isinstance(x, list) else float(x)
+    return Config(**{k: tuples(v) for k, v in given.items()})

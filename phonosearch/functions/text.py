@@ -180,3 +180,24 @@ def bracketed(first: Column, second: Column, left: Column, right: Column) -> Col
     b = F.greatest(F.lit(1), F.least(F.length(second), F.when(F.length(right) > 0, F.length(right)).otherwise(1)))
     cut = F.length(first) - a
     return F.concat(F.substr(first, F.lit(1), cut), F.lit("["), F.substr(first, cut + 1), F.lit(" "), F.substr(second, F.lit(1), b), F.lit("]"), F.substr(second, b + 1))
+
+
+# What can be read letter by letter.
+PHONETIC_INPUT = "^[가-힣ㄱ-ㅎㅏ-ㅣ]+$"
+
+
+def is_phonetic(text: Column) -> Column:
+    """Whether a text is Hangul syllables and single letters alone; false for null and empty texts."""
+    return F.coalesce(text.rlike(PHONETIC_INPUT), F.lit(False))
+
+
+def phoneme_spans(sounds: Column, offset: int = 0) -> Column:
+    """(char, start, end) of each sound, where no written syllables give spans."""
+    return F.transform(sounds, lambda p, i: F.struct(p.alias("char"), (i + offset).alias("start"), (i + offset + 1).alias("end")))
+
+
+def detail_multipliers(spans: Column, values: Column, size: Column) -> Column:
+    """A multiplier for each of `size` sounds: the value of the last span that holds it, 1 where none does or a span has no value."""
+    held = lambda i: F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda k: (F.get(spans, k)["start"] <= i) & (i < F.get(spans, k)["end"]))
+    value = lambda i: F.coalesce(F.get(values, F.element_at(F.concat(F.array(F.lit(-1)), held(i)), -1)), F.lit(1.0))
+    return F.when(size == 0, F.array().cast("array<double>")).when(F.size(spans) == 0, F.array_repeat(F.lit(1.0), size)).otherwise(F.transform(F.sequence(F.lit(0), size - 1), value))

@@ -75,3 +75,45 @@ def suffixes(words: DataFrame, column: str = "code", most: int = 4) -> DataFrame
     """suffix, word: a posting for each of the last one to four sounds."""
     size = F.length(column)
     return words.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), size)))).where(size > 0).select(F.expr(f"right({column}, k)").alias("suffix"), "word")
+
+
+def ordered_union(dictionary: DataFrame, more: DataFrame) -> DataFrame:
+    """lang, word, place: the dictionary's words in their order (lang, word, ord), then further words (lang, word), Korean first, sorted; each once, from 0."""
+    first = dictionary.groupBy("lang", "word").agg(F.min("ord").alias("ord"))
+    rest = more.select("lang", "word").distinct().join(first, ["lang", "word"], "left_anti")
+    rows = first.select("lang", "word", F.lit(0).alias("_late"), "ord").unionByName(rest.select("lang", "word", F.when(F.col("lang") == "ko", 1).otherwise(2).alias("_late"), F.lit(None).cast(first.schema["ord"].dataType).alias("ord")))
+    return ranks(rows, F.col("_late"), F.col("ord"), F.col("word"), F.col("lang"), name="place").select("lang", "word", "place")
+
+
+def offsets(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """key, n, start: the sum of n over all smaller keys, as an export of lists in one array needs. Keys are dealt by range, so only the ranges' sums go to one place."""
+    at = counts.select(key, n).repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    at = at.checkpoint() if counts.sparkSession.sparkContext.getCheckpointDir() else at.persist()
+    at = at.withColumn("_part", F.spark_partition_id())
+    before = at.groupBy("_part").agg(F.sum(n).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return at.withColumn("_inside", inside).join(F.broadcast(before), "_part").select(key, n, (F.col("_before") + F.col("_inside")).alias("start"))
+
+
+def frequency_differences(stored: DataFrame, computed: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """lang, word, stored, computed of the stored frequencies (lang, word, zipf) that computing them again doesn't give.
+
+    Words without a stored frequency, and words that the computed table lacks, are not compared; a computed null differs from any number.
+    """
+    both = stored.where("zipf is not null").select("lang", "word", F.col("zipf").alias("stored")).join(computed.select("lang", "word", F.col("zipf").alias("computed")), ["lang", "word"])
+    return both.where(F.col("computed").isNull() | (F.abs(F.col("stored") - F.col("computed")) > tolerance))
+
+
+def by_length(rows: DataFrame, column: str) -> DataFrame:
+    """rows dealt by the length of a text or list and sorted by it, so that the batches of a model hold texts of like length."""
+    size = F.length(column) if dict(rows.dtypes)[column] == "string" else F.size(column)
+    return rows.repartitionByRange(size).sortWithinPartitions(size)
+
+
+def lexicon_statistics(lexicon: DataFrame) -> DataFrame:
+    """One row: words, ko, en, sequences (over all layers), without_own_reading (Korean words without ko, English ones without koreanized)."""
+    every = F.concat("ko", "native", "koreanized")
+    missing = F.when(F.col("lang") == "ko", F.size("ko") == 0).otherwise(F.size("koreanized") == 0)
+    whole = lexicon.agg(F.count("*").alias("words"), F.count_if(F.col("lang") == "ko").alias("ko"), F.count_if(F.col("lang") == "en").alias("en"), F.count_if(missing).alias("without_own_reading"))
+    sequences = lexicon.select(F.explode(every).alias("code")).distinct().agg(F.count("*").alias("sequences"))
+    return whole.join(F.broadcast(sequences), how="cross")

@@ -113,6 +113,46 @@ def load(raw: bytes, sizes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]
     return out
 
 
+def save(weights: dict[str, np.ndarray]) -> tuple[bytes, str]:
+    """Weights as little-endian 32-bit floats one after the other, and where each stands, as JSON {name: [offset, shape]}."""
+    import json
+
+    offsets, at = {}, 0
+    for name, w in weights.items():
+        offsets[name] = [at, list(w.shape)]
+        at += w.size
+    return b"".join(np.ascontiguousarray(w, "<f4").tobytes() for w in weights.values()), json.dumps(offsets)
+
+
+def sizes_of(offsets: str) -> dict[str, tuple[int, ...]]:
+    """The shapes for load() of what save() has written, in the order in which they stand."""
+    import json
+
+    found = sorted(json.loads(offsets).items(), key=lambda x: x[1][0])
+    at = 0
+    for name, (start, shape) in found:
+        if start != at:
+            raise ValueError(f"a gap before {name}")
+        at += int(np.prod(shape))
+    return {name: tuple(shape) for name, (_, shape) in found}
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """training_pairs() by part and language, with sounds as one text."""
+    pairs.withColumn("phonemes", F.array_join("phonemes", " ")).write.mode("overwrite").partitionBy("part", "lang").parquet(path)
+
+
+def read_pairs(spark, path: str, part: str | None = None) -> DataFrame:
+    found = spark.read.schema("word string, phonemes string, part string, lang string").parquet(path)
+    found = found if part is None else found.where(F.col("part") == part)
+    return found.withColumn("phonemes", F.filter(F.split("phonemes", " "), lambda p: p != ""))
+
+
+def part_counts(pairs: DataFrame) -> DataFrame:
+    """lang, part, n."""
+    return pairs.groupBy("lang", "part").agg(F.count("*").alias("n"))
+
+
 def predictor(raw: bytes, sizes: dict, source: dict[str, int], target: list[str]) -> Callable[[Column], Column]:
     """A function of a column of token lists that gives phoneme lists; the weights are loaded once for each batch stream."""
 

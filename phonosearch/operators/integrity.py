@@ -1,9 +1,7 @@
-"""Digests, manifests, allow-lists and publishing by rename."""
+"""Digests, manifests, allow-lists, artifact checks and publishing."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +21,10 @@ def compared(one: DataFrame, other: DataFrame, tolerance: float = 0.001) -> Data
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes, sha256 of the files below a path, hidden ones left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """name (relative to path), bytes, sha256 of the files below a path, hidden ones left out."""
+    from phonosearch.sources.store import listing
+
+    return listing(spark, path)
 
 
 def differences(found: DataFrame, listed: DataFrame) -> DataFrame:
@@ -42,24 +41,38 @@ def over_budget(found: DataFrame, total: int = 900 << 20, each: int = 95 << 20)
 
 
 def publish(df: DataFrame, path: str, check) -> None:
-    """Writes beside the path, checks what was written, and only then takes its place.
+    """Writes a new version beside the one in use, checks what was written, and only then moves the pointer; see sources/store."""
+    from phonosearch.sources.store import write
+
+    write(df, path, "published", check=check)
+
+
+#: Names that are never published; what a page may not load from elsewhere.
+DENIED = (r"(^|/)\.", r"\.(onnx|pt|safetensors|map|pem|key)$", r"(^|/)(node_modules|data/source|scripts|tests)/")
+CALL = r"(?i)(?:fetch|importScripts|import)\s*\(\s*[\"'`]https?://([^/\"'`]+)|<(?:script|iframe)[^>]+src\s*=\s*[\"']?(?:https?:)?//([^/\"' >]+)"
+
+
+def artifact_problems(files: DataFrame, allowed: list[str], total: int = 900 << 20, each: int = 95 << 20, denied: tuple[str, ...] = DENIED, hosts: tuple[str, ...] = ()) -> DataFrame:
+    """name, problem of an artifact's files (name, bytes, text of pages and scripts or null) against an allow-list and its budgets.
 
-    A folder that has no manifest of ours is never replaced. Works on any store that Hadoop knows.
+    denied, unlisted, missing, too_large (one file), over_budget (all, once, without a name), external (a call to a host that is not allowed).
     """
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, mark = f"{path}.new", "_published.json"
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target) and not fs.exists(jvm.org.apache.hadoop.fs.Path(path, mark)):
-        raise FileExistsError(f"{path} was not published by this function")
-    df.write.mode("overwrite").parquet(new)
-    if not check(spark.read.parquet(new)):
-        fs.delete(jvm.org.apache.hadoop.fs.Path(new), True)
-        raise ValueError("what was written does not pass its check")
-    out = fs.create(jvm.org.apache.hadoop.fs.Path(new, mark), True)
-    out.write(bytearray(json.dumps({"schema_version": 1}).encode()))
-    out.close()
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(new), target)
+    spark = files.sparkSession
+    listed = spark.createDataFrame([(a,) for a in allowed], "name string").withColumn("_listed", F.lit(True))
+    at = files.join(F.broadcast(listed), "name", "left")
+    found = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(CALL), F.lit(1)), F.regexp_extract_all("text", F.lit(CALL), F.lit(2))))
+    strange = F.filter(found, lambda h: (h != "") & ~(h.isin(*hosts) if hosts else F.lit(False)))
+    bad = F.lit(False)
+    for pattern in denied:
+        bad = bad | F.col("name").rlike(pattern)
+    kinds = F.array_compact(F.array(F.when(bad, "denied"), F.when(F.col("_listed").isNull(), "unlisted"), F.when(F.col("bytes") > each, "too_large"), F.when(F.coalesce(F.size(strange) > 0, F.lit(False)), "external")))
+    out = at.select("name", F.explode(kinds).alias("problem"))
+    lost = listed.join(files, "name", "left_anti").select("name", F.lit("missing").alias("problem"))
+    whole = files.agg(F.sum("bytes").alias("n")).where(F.col("n") > total).select(F.lit(None).cast("string").alias("name"), F.lit("over_budget").alias("problem"))
+    return out.unionByName(lost).unionByName(whole)
+
+
+def review_draft(files: DataFrame, sources: list[dict], manifests: dict[str, str]) -> dict:
+    """A policy that someone has to review before anything is published: reviewed is false. files are name, bytes, sha256 of an artifact, a bounded list."""
+    rows = sorted((r.name, r.bytes, r.sha256) for r in files.select("name", "bytes", "sha256").collect())
+    return {"schema_version": 2, "reviewed": False, "allowed_files": [n for n, _, _ in rows], "manifests": dict(sorted(manifests.items())), "sources": sources, "files": [{"path": n, "bytes": b, "sha256": h} for n, b, h in rows]}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,12 +17,13 @@ def normed(v: Column) -> Column:
     return let(n, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x)))
 
 
-def quantized(v: Column) -> Column:
-    """Values from -7 to 7 by the row's largest, halves rounded to even."""
+def quantized(v: Column, bits: int = 4) -> Column:
+    """Whole values by the row's largest, from -7 to 7 for four bits, halves rounded to even."""
+    levels = (1 << (bits - 1)) - 1
 
     def by_top(v: Column) -> Column:
         top = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-        return let(top, lambda top: F.transform(v, lambda x: F.when(top > 0, F.bround(x / (top / 7))).otherwise(0).cast("int")))
+        return let(top, lambda top: F.transform(v, lambda x: F.when(top > 0, F.bround(x / (top / levels))).otherwise(0).cast("int")))
 
     return let(v, by_top)
 
@@ -79,23 +80,76 @@ def projected(embeddings: DataFrame, dims: int, id_column: str = "vec_id", vecto
     return PCA(k=dims, inputCol="v", outputCol="p").fit(centred).transform(centred).select("row_id", vector_to_array("p").alias("embedding"))
 
 
-def quantization_study(embeddings: DataFrame, dims: tuple[int, ...] = (8, 16, 32), top: int = 10, topics: int = 20) -> DataFrame:
-    """dims, corr, kept: how well quantised components keep the similarities with some topics, and their best `top`."""
-    out = None
-    exact = vectors_exact(embeddings)
-    for d in dims:
-        small = vectors(projected(embeddings, d), "row_id", "embedding")
-        t = small.where(F.col("row_id") < topics)
-        got = small.alias("a").join(F.broadcast(t.select(F.col("row_id").alias("t"), F.col("q").alias("t_q"), F.col("inv_norm").alias("t_n"))), how="cross").select("t", F.col("a.row_id").alias("row_id"), (dot(F.col("a.q"), F.col("t_q")) * F.col("a.inv_norm") * F.col("t_n")).alias("small"))
-        both = got.join(exact.where(F.col("t") < topics), ["t", "row_id"])
-        row = both.groupBy("t").agg(F.corr("small", "exact").alias("corr"), F.max_by("row_id", "small").alias("a"), F.array_agg(F.struct("small", "row_id")).alias("s"), F.array_agg(F.struct("exact", "row_id")).alias("e"))
-        best = lambda c: F.transform(F.slice(F.reverse(F.array_sort(c)), 1, top), lambda x: x["row_id"])
-        row = row.select("corr", (F.size(F.array_intersect(best(F.col("s")), best(F.col("e")))) / top).alias("kept")).agg(F.avg("corr").alias("corr"), F.avg("kept").alias("kept")).withColumn("dims", F.lit(d))
+def product_quantized(vectors: DataFrame, dims: int, parts: int, centres: int = 256, seed: int = 0) -> DataFrame:
+    """row_id, embedding: each of `parts` equal slices of a vector (row_id, embedding of dims values) replaced by the nearest of its slice's centres (k-means of Spark ML)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    width, out = dims // parts, vectors
+    for j in range(parts):
+        at = out.withColumn("_s", array_to_vector(F.slice("embedding", j * width + 1, width)))
+        model = KMeans(k=centres, seed=seed + j, featuresCol="_s", predictionCol=f"_c{j}", maxIter=20).fit(at)
+        books = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))  # centres x width numbers
+        out = model.transform(at).withColumn(f"_v{j}", F.get(books, F.col(f"_c{j}"))).drop("_s", f"_c{j}")
+    return out.select("row_id", F.concat(*(F.col(f"_v{j}") for j in range(parts))).alias("embedding"))
+
+
+#: Schemes of the study: components, then bits a value, or slices of a product quantiser.
+SCHEMES = (("pca", 8, 4), ("pca", 16, 4), ("pca", 32, 4), ("pca", 16, 8), ("pq", 16, 4))
+
+
+def quantization_study(embeddings: DataFrame, schemes: tuple = SCHEMES, top: int = 10, centres: int = 16) -> DataFrame:
+    """scheme, bytes (a row's), corr, p99 (of the absolute error), kept: how well a scheme keeps the similarities of topics with all rows, and their best `top`.
+
+    Topics are the rows whose id is divisible by 50.
+    """
+    out, exact, made = None, vectors_exact(embeddings), {}
+    for kind, dims, size in schemes:
+        if dims not in made:
+            made[dims] = projected(embeddings, dims).persist()
+        small = made[dims]
+        if kind == "pca":
+            v = small.select("row_id", quantized(normed(F.col("embedding")), size).alias("q")).select("row_id", F.transform("q", lambda x: x.cast("double")).alias("v"))
+            stored = dims * size // 8
+        else:
+            v, stored = product_quantized(small, dims, size, centres).select("row_id", F.col("embedding").alias("v")), size
+        both = against_topics(v.select("row_id", normed(F.col("v")).alias("v")), "small").join(exact, ["t", "row_id"])
+        best = lambda c: both.withColumn("_r", F.row_number().over(Window.partitionBy("t").orderBy(F.desc(c), "row_id"))).where(F.col("_r") <= top).select("t", "row_id")
+        kept = best("small").join(best("exact"), ["t", "row_id"]).groupBy("t").agg((F.count("*") / top).alias("kept"))
+        error = F.percentile_approx(F.abs(F.col("small") - F.col("exact")), 0.99, 10000)
+        row = both.groupBy("t").agg(F.corr("small", "exact").alias("corr"), error.alias("p99")).join(kept, "t", "left")
+        row = row.agg(F.avg("corr").alias("corr"), F.max("p99").alias("p99"), F.avg(F.coalesce("kept", F.lit(0.0))).alias("kept"))
+        row = row.select(F.lit(f"{kind}{dims}/{size}").alias("scheme"), F.lit(stored).alias("bytes"), "corr", "p99", "kept")
         out = row if out is None else out.unionByName(row)
-    return out.select("dims", "corr", "kept")
+    return out
+
+
+def against_topics(v: DataFrame, name: str) -> DataFrame:
+    """t, row_id, similarity of every row with every topic, the rows whose id is divisible by 50; v has row_id and v of length one."""
+    dot = F.aggregate(F.zip_with("v", "t_v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    t = v.where(F.col("row_id") % 50 == 0).select(F.col("row_id").alias("t"), F.col("v").alias("t_v"))
+    return by_blocks(v, t).select("t", "row_id", dot.alias(name))
 
 
-def vectors_exact(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "embedding", topics: int = 20) -> DataFrame:
+def by_blocks(rows: DataFrame, topics: DataFrame, block: int = 2000) -> DataFrame:
+    """Every row with every topic (column t): topics are broadcast in blocks of about `block`, as many as it takes."""
+    blocks = max(1, -(-topics.count() // block))
+    out = None
+    for b in range(blocks):
+        part = rows.join(F.broadcast(topics.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)), how="cross")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def vectors_exact(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     v = embeddings.select(F.col(id_column).alias("row_id"), normed(F.col(vector).cast("array<double>")).alias("v"))
-    t = v.where(F.col("row_id") < topics).select(F.col("row_id").alias("t"), F.col("v").alias("t_v"))
-    return v.join(F.broadcast(t), how="cross").select("t", "row_id", F.aggregate(F.zip_with("v", "t_v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("exact"))
+    return against_topics(v, "exact")
+
+
+def looked_up(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """word, topic_row: each word's row by its script's language (Hangul is Korean, all else English); null where it has none, so that a search goes on without a topic."""
+    from phonosearch.functions.text import HANGUL
+
+    asked = words.select("word", F.lower(F.trim("word")).alias("_key"), F.when(F.col("word").rlike(HANGUL), "ko").otherwise("en").alias("lang"))
+    rows = lexicon.where("topic_row >= 0").groupBy("lang", F.lower("word").alias("_key")).agg(F.min("topic_row").alias("topic_row"))
+    return asked.join(rows, ["lang", "_key"], "left").select("word", "topic_row")

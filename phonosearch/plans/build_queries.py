@@ -332,24 +332,24 @@ def query_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("event_type").alias("query"))
     lex = lexicon(spark, sf_dir).persist()
 
-    def sink(found: DataFrame, number: int) -> None:
-        found.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{at}/out")
+    def sink(found: DataFrame, number: int, part: int) -> None:
+        found.write.mode("overwrite").parquet(f"{at}/out/batch={number}/part={part}")  # a retried batch writes the same again
 
     streaming.start(stream, lex, lambda w: request_for(w, mode="native"), sink, f"{at}/checkpoint", top=3).awaitTermination()
     lex.unpersist()
-    return spark.read.parquet(f"{at}/out").select("query", F.col("rank").cast("bigint").alias("rank"), "word", F.col("key").alias("score"))
+    return spark.read.parquet(f"{at}/out").distinct().select("query", F.col("rank").cast("bigint").alias("rank"), "word", F.col("key").alias("score"))
 
 
 # ---- Quality and integrity ------------------------------------------------------------------------
 
-EXACT = "x AS (SELECT vec_id AS row_id, v FROM unitv), ex AS (SELECT t.row_id AS t, a.row_id, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(a.v, t.v), lambda z: z[1] * z[2])), lambda p, q: p + q) AS exact FROM x a CROSS JOIN (SELECT * FROM x WHERE row_id < 5) t), sm AS (SELECT t.row_id AS t, a.row_id, " + DOT.format(a="a.q", b="t.q") + " * a.inv_norm * t.inv_norm AS small FROM topicv a CROSS JOIN (SELECT * FROM topicv WHERE row_id < 5) t), bothv AS (SELECT t, row_id, exact, small FROM ex JOIN sm USING (t, row_id))"
+EXACT = "x AS (SELECT vec_id AS row_id, v FROM unitv), ex AS (SELECT t.row_id AS t, a.row_id, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(a.v, t.v), lambda z: z[1] * z[2])), lambda p, q: p + q) AS exact FROM x a CROSS JOIN (SELECT * FROM x WHERE row_id % 50 = 0) t), sm AS (SELECT t.row_id AS t, a.row_id, " + DOT.format(a="a.q", b="t.q") + " * a.inv_norm * t.inv_norm AS small FROM topicv a CROSS JOIN (SELECT * FROM topicv WHERE row_id % 50 = 0) t), bothv AS (SELECT t, row_id, exact, small FROM ex JOIN sm USING (t, row_id))"
 
 
 def both_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = topic_rows(spark, sf_dir)
-    t = q.where("row_id < 5").select(F.col("row_id").alias("t"), F.col("q").alias("t_q"), F.col("inv_norm").alias("t_n"))
-    small = q.join(F.broadcast(t), how="cross").select("t", "row_id", (topic.dot(F.col("q"), F.col("t_q")) * F.col("inv_norm") * F.col("t_n")).alias("small"))
-    return small.join(topic.vectors_exact(table(spark, sf_dir, "embeddings"), topics=5), ["t", "row_id"])
+    t = q.where("row_id % 50 = 0").select(F.col("row_id").alias("t"), F.col("q").alias("t_q"), F.col("inv_norm").alias("t_n"))
+    small = topic.by_blocks(q, t).select("t", "row_id", (topic.dot(F.col("q"), F.col("t_q")) * F.col("inv_norm") * F.col("t_n")).alias("small"))
+    return small.join(topic.vectors_exact(table(spark, sf_dir, "embeddings")), ["t", "row_id"])
 
 
 @query(f"WITH {EMB}, {EXACT} SELECT t, round(corr(exact, small), 6) AS corr, round(max(abs(exact - small)), 6) AS worst FROM bothv GROUP BY t")
@@ -476,3 +476,131 @@ def frequency_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique ranks over all words, by counted ranges."""
     return build.ranks(vocabulary(spark, sf_dir).select("word", "n"), F.desc("n"), F.col("word"))
 
+
+
+# ---- Further inputs and checks --------------------------------------------------------------------
+
+PHONETIC = [("사랑",), ("ㅋㅏ",), ("a",), ("사 랑",), ("",), ("가1",)]
+
+
+@query(f"WITH {sql.LAYERS} SELECT word, regexp_full_match(word, '[가-힣ㄱ-ㅎㅏ-ㅣ]+') AS phonetic FROM (SELECT word FROM layers UNION ALL SELECT word FROM {sql.values(PHONETIC, 'word')})")
+def phonetic_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vocabulary(spark, sf_dir).select("word").unionByName(spark.createDataFrame(PHONETIC, "word string"))
+    return rows.select("word", text.is_phonetic(F.col("word")).alias("phonetic"))
+
+
+@query(f"WITH {sql.LAYERS}, p AS (SELECT word, unnest(native) AS sound, generate_subscripts(native, 1) AS i FROM layers) SELECT word, sound, CAST(i + 2 AS INTEGER) AS start, CAST(i + 3 AS INTEGER) AS stop FROM p")
+def phoneme_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all words' sounds behind three others."""
+    sounds = F.transform(F.split(native_code(F.col("word")), ""), lambda c: F.try_element_at(text.literal_map((c, p) for p, c in CODES.items()), c))
+    s = vocabulary(spark, sf_dir).select("word", F.explode(text.phoneme_spans(sounds, 3)).alias("s"))
+    return s.select("word", F.col("s.char").alias("sound"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
+
+
+@query(f"WITH {sql.LAYERS}, p AS (SELECT word, len(native) AS n, unnest(range(len(native))) AS i FROM layers), m AS (SELECT word, i, CASE WHEN n >= 4 AND i >= 1 AND i < 3 THEN 5.0 WHEN i < 2 THEN 2.0 ELSE 1.0 END::DOUBLE AS x FROM p) SELECT word, array_to_string(list(CAST(CAST(x AS INTEGER) AS VARCHAR) ORDER BY i), ',') AS detail FROM m GROUP BY word")
+def detail_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two spans over each word's sounds, the second of which lies over the first."""
+    span = lambda a, b: F.struct(F.lit("").alias("char"), F.lit(a).alias("start"), F.lit(b).alias("end"))
+    size = F.length(native_code(F.col("word")))
+    spans = F.when(size >= 4, F.array(span(0, 2), span(1, 3))).otherwise(F.array(span(0, 2)))
+    m = text.detail_multipliers(spans, F.array(F.lit(2.0), F.lit(5.0)), size)
+    return vocabulary(spark, sf_dir).select("word", F.array_join(F.transform(m, lambda x: x.cast("int").cast("string")), ",").alias("detail"))
+
+
+def spoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words as English ones that were spoken as they are written."""
+    return vocabulary(spark, sf_dir).select(F.lit("en").alias("lang"), "word", F.split("word", "").alias("phonemes"))
+
+
+LOANS = "loan AS (SELECT word, word[:3] AS hangul FROM lex WHERE word LIKE 'th%'), form AS (SELECT DISTINCT word[:3] AS hangul FROM lex WHERE word LIKE 'th%' AND length(word) >= 5)"
+
+
+@query(f"WITH {sql.VOCAB}, {LOANS} SELECT lex.word, CASE WHEN form.hangul IS NOT NULL THEN form.hangul || 'ɯ' ELSE lex.word END AS reading, form.hangul IS NOT NULL AS from_loanword FROM lex LEFT JOIN loan ON loan.word = lex.word LEFT JOIN form ON form.hangul = loan.hangul")
+def loanword_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An English word is read as its loanword's spoken form where there is one; the spellings here are the first three letters of words in th."""
+    from phonosearch.operators import pronounce
+
+    th = vocabulary(spark, sf_dir).where("word like 'th%'").select("word", F.substring("word", 1, 3).alias("hangul"))
+    forms = th.where("length(word) >= 5").select(F.lit("ko").alias("lang"), F.col("hangul").alias("word"), F.concat(F.split("hangul", ""), F.array(F.lit("ɯ"))).alias("phonemes")).distinct()
+    got = pronounce.table(spoken_words(spark, sf_dir), forms, th)
+    return got.select("word", F.array_join("phonemes", "").alias("reading"), "from_loanword")
+
+
+@query(f"WITH {sql.VOCAB}, c AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) GROUP BY word), z AS (SELECT word, round(log10(n / (SELECT sum(n) FROM c)::DOUBLE) + 9, 4) AS zipf FROM c) SELECT 'en' AS lang, lex.word, lex.zipf AS stored, z.zipf AS computed FROM lex JOIN z ON z.word = lex.word WHERE abs(lex.zipf - z.zipf) > 0.0001")
+def frequency_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies of documents against those of conversations."""
+    talk = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    computed = build.counts(talk, talk.distinct()).select(F.lit("en").alias("lang"), "word", "zipf")
+    return build.frequency_differences(vocabulary(spark, sf_dir).select(F.lit("en").alias("lang"), "word", "zipf"), computed)
+
+
+@query(f"WITH {sql.VOCAB}, r AS (SELECT word, replace(word, 'e', 'a') AS r FROM lex UNION ALL SELECT word, replace(word, 't', '') FROM lex WHERE word LIKE '%t%'), d AS (SELECT word, levenshtein(word, r) AS d, greatest(length(r), 1) AS n FROM r) SELECT word, round(least(1.0, min(d / n)), 9) AS error_rate, min(d) = 0 AS exact FROM d GROUP BY word")
+def best_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word's letters against the nearer of two spellings."""
+    from phonosearch.operators import pronounce
+
+    v = vocabulary(spark, sf_dir).select("word")
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    refs = v.select("word", letters(F.replace("word", F.lit("e"), F.lit("a"))).alias("phonemes")).unionByName(v.where("word like '%t%'").select("word", letters(F.replace("word", F.lit("t"), F.lit(""))).alias("phonemes")))
+    got = pronounce.best_of(v.select("word", letters("word").alias("phonemes")), refs, list("abcdefghijklmnopqrstuvwxyz"))
+    return got.select("word", F.round("error_rate", 9).alias("error_rate"), "exact")
+
+
+@query(f"WITH {EDGES}, c AS (SELECT first AS word, count(*) AS n FROM edge GROUP BY first) SELECT word, n, CAST(coalesce(sum(n) OVER (ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM c")
+def edge_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each word's followers begin if all are written one after the other."""
+    heads = edges(spark, sf_dir).groupBy(F.col("first").alias("word")).agg(F.count("*").alias("n"))
+    return build.offsets(heads, "word", "n").select("word", "n", F.col("start").cast("bigint").alias("start"))
+
+
+@query(f"WITH {sql.LAYERS}, s AS (SELECT native AS x FROM layers UNION SELECT koreanized FROM layers) SELECT count(*) AS words, CAST(0 AS BIGINT) AS ko, count(*) AS en, CAST(0 AS BIGINT) AS without_own_reading, (SELECT count(*) FROM s) AS sequences FROM layers")
+def lexicon_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.lexicon_statistics(lexicon(spark, sf_dir))
+
+
+@query(f"WITH {sql.VOCAB}, c AS (SELECT substr(word, i, 1) AS symbol FROM lex, range(1, 30) t(i) WHERE i <= length(word)), d AS (SELECT DISTINCT word, substr(word, i, 1) AS symbol FROM lex, range(1, 30) t(i) WHERE i <= length(word)) SELECT symbol, count(*) AS n FROM d WHERE symbol IN ('c', 'f', 'j', 'q', 'r', 'v', 'w', 'z') AND NOT (symbol = 'w' AND word IN (SELECT word FROM lex WHERE NOT regexp_matches(word, 'w($|[^aeiou])'))) AND NOT (symbol = 'j' AND word IN (SELECT word FROM lex WHERE NOT regexp_matches(word, 'j($|[^aeoui])'))) GROUP BY symbol")
+def unknown_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many words each letter stands that is no sound of the Korean inventory, if letters are events. A glide counts where no vowel follows."""
+    from phonosearch.operators import pronounce
+
+    return pronounce.unknown_symbols(vocabulary(spark, sf_dir).select(F.split("word", "").alias("events")))
+
+
+@query(f"WITH {sql.VOCAB}, {BENCH}, d AS (SELECT 'en' AS lang, word, row_number() OVER (ORDER BY length(word), word) AS ord FROM bw), r AS (SELECT 'en' AS lang, word FROM lex WHERE word NOT IN (SELECT word FROM bw)), u AS (SELECT lang, word, 0 AS late, ord FROM d UNION ALL SELECT lang, word, 1, NULL FROM r) SELECT lang, word, row_number() OVER (ORDER BY late, ord, word) - 1 AS place FROM u")
+def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's words from short to long, then all others in order."""
+    b = build.ranks(bench_words(spark, sf_dir), F.length("word"), F.col("word"), name="ord").select(F.lit("en").alias("lang"), "word", "ord")
+    return build.ordered_union(b, vocabulary(spark, sf_dir).select(F.lit("en").alias("lang"), "word"))
+
+
+@query(f"WITH {sql.VOCAB}, {BENCH} SELECT bw.word, CASE WHEN n IS NULL THEN NULL WHEN (length(bw.word) * 31 + ascii(bw.word)) % 500 < 100 THEN NULL ELSE CAST((length(bw.word) * 31 + ascii(bw.word)) % 500 AS BIGINT) END AS topic_row FROM bw LEFT JOIN lex ON lex.word = bw.word")
+def topic_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic row of each of the benchmark's words, null where a search goes on without a topic. Rows here go by length and first letter, and those below 100 are none."""
+    from phonosearch.operators.topic import looked_up
+
+    row = ((F.length("word") * 31 + F.ascii("word")) % 500).cast("bigint")
+    lex = lexicon(spark, sf_dir).withColumn("topic_row", F.when(row >= 100, row).otherwise(-1))
+    return looked_up(bench_words(spark, sf_dir), lex).select("word", "topic_row")
+
+
+ARTIFACT = [("index.html", 100, "<script src='https://x.example/a.js'></script>"), ("app.js", 50, "fetch('https://ok.example/x'); fetch('/local')"), (".env", 5, None), ("big.bin", 200, None), ("model.onnx", 20, None)]
+ALLOWED = ["index.html", "app.js", "big.bin", "model.onnx", "lost.css"]
+PROBLEMS = [("index.html", "external"), (".env", "denied"), (".env", "unlisted"), ("big.bin", "too_large"), ("model.onnx", "denied"), ("lost.css", "missing"), (None, "over_budget")]
+
+
+@query(f"SELECT name, problem FROM {sql.values(PROBLEMS, 'name, problem')}")
+def artifact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.createDataFrame(ARTIFACT, "name string, bytes bigint, text string")
+    return integrity.artifact_problems(files, ALLOWED, total=300, each=150, hosts=("ok.example",))
+
+
+@query(f"WITH {sql.LAYERS} SELECT lang, count(*) AS words, sum(length(word))::BIGINT AS letters, sum(len(native))::BIGINT AS sounds FROM (SELECT 'en' AS lang, word, native FROM layers) GROUP BY lang")
+def stored_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon written with its manifest, verified and read back."""
+    from phonosearch.plans.testdata import folder
+    from phonosearch.sources import files
+
+    at = folder(spark, "stored-lexicon")
+    files.write_lexicon(lexicon(spark, sf_dir), at, {"inventory": "1"})
+    back = files.read_lexicon(spark, at, {"inventory": "1"})
+    return back.groupBy("lang").agg(F.count("*").alias("words"), F.sum(F.length("word")).alias("letters"), F.sum(F.length(F.get("native", F.lit(0)))).alias("sounds"))

@@ -12,7 +12,7 @@ from phonosearch.functions.similarity import Columns, consonant_similarity, phon
 from phonosearch.operators import kernel, linked_search, topic, word_search
 from phonosearch.plans import sql
 from phonosearch.plans.request import Request, variants
-from phonosearch.plans.testdata import edges, koreanized_sounds, lexicon, native_sounds, vocabulary
+from phonosearch.plans.testdata import edges, koreanized_sounds, lexicon, native_sounds, stored_edges, vocabulary
 from phonosearch.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -235,7 +235,7 @@ def collect_sql(r: Request) -> str:
 
 def pairs_of(spark: SparkSession, sf_dir: str, r: Request):
     u = units(spark, sf_dir)
-    got, plan = linked_search.collect(u, edges(spark, sf_dir), r, "en", layers_of(r))
+    got, plan = linked_search.collect(u, stored_edges(spark, sf_dir), r, "en", layers_of(r))
     z = u.select("id", F.coalesce("zipf", F.lit(1.0)).alias("z"))
     both = got.join(z.select(F.col("id").alias("first"), F.col("z").alias("za")), "first").join(z.select(F.col("id").alias("second"), F.col("z").alias("zb")), "second")
     return both.withColumn("zipf", (F.col("za") + F.col("zb")) / 2), plan
@@ -243,7 +243,7 @@ def pairs_of(spark: SparkSession, sf_dir: str, r: Request):
 
 def linked_query(name: str, request: Request) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        got, _ = linked_search.collect(units(spark, sf_dir), edges(spark, sf_dir), request, "en", layers_of(request))
+        got, _ = linked_search.collect(units(spark, sf_dir), stored_edges(spark, sf_dir), request, "en", layers_of(request))
         return got.select("first", "second", "split", tie_key(F.col("left")).alias("left_score"), tie_key(F.col("right")).alias("right_score"), tie_key(F.col("boundary")).alias("boundary"))
 
     run.__name__ = name

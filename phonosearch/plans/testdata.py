@@ -61,8 +61,34 @@ def layered(vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share; a temporary one where the session names none, as in tests."""
+    import tempfile
+    import uuid
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="phonosearch-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that is built from the test tables once in an application, written, and read by every query that searches it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        at = folder(spark, name)
+        make().repartition(spark.sparkContext.defaultParallelism).write.parquet(at)
+        _stored[key] = at
+    return spark.read.parquet(_stored[key])
+
+
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layered(vocabulary(spark, sf_dir))
+    return stored(spark, sf_dir, "lexicon", lambda: layered(vocabulary(spark, sf_dir)))
+
+
+def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "edges", lambda: edges(spark, sf_dir))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,11 +36,10 @@ def surface_bigrams(spark: SparkSession, path: str) -> DataFrame:
     """head, norm, next, count, next_norm of {entries: {head: [norm, [[next, count, score, norm?], ...]]}} or the bare map."""
     v = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     v = v.select(F.coalesce(F.try_variant_get("v", "$.entries", "variant"), F.col("v")).alias("v"))
-    v.createOrReplaceTempView("_surface_bigrams")
     return spark.sql("""
         SELECT h.key AS head, try_variant_get(h.value, '$[0]', 'string') AS norm, try_variant_get(e.value, '$[0]', 'string') AS next,
                try_variant_get(e.value, '$[1]', 'bigint') AS count, try_variant_get(e.value, '$[3]', 'string') AS next_norm
-        FROM _surface_bigrams, LATERAL variant_explode(v) AS h, LATERAL variant_explode(try_variant_get(h.value, '$[1]', 'variant')) AS e""")
+        FROM {bigrams}, LATERAL variant_explode(v) AS h, LATERAL variant_explode(try_variant_get(h.value, '$[1]', 'variant')) AS e""", bigrams=v)
 
 
 def word_bigrams(spark: SparkSession, path: str) -> DataFrame:
@@ -53,11 +52,39 @@ def tab_separated(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", emptyValue="", nullValue="")
 
 
+def read_tab_separated(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).csv(path, sep="\t", emptyValue="", nullValue="")
+
+
+def verified_bytes(spark: SparkSession, path: str, sha256: str, unpacked_sha256: str | None = None) -> bytes:
+    """A small file's bytes, unpacked if it is gzip, if their digests are the pinned ones."""
+    import gzip
+    import hashlib
+
+    from phonosearch.sources.store import IntegrityError
+
+    raw = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    if hashlib.sha256(raw).hexdigest() != sha256:
+        raise IntegrityError(f"{path} is not the pinned file")
+    out = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    if unpacked_sha256 is not None and hashlib.sha256(out).hexdigest() != unpacked_sha256:
+        raise IntegrityError(f"what {path} holds is not the pinned content")
+    return out
+
+
 def missing(wanted: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """What a resumed extraction still has to do."""
     return wanted.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def write_lexicon(lexicon: DataFrame, path: str) -> None:
-    """Partitioned by language, so that a search over one language reads only that."""
-    lexicon.write.mode("overwrite").partitionBy("lang").parquet(path)
+def write_lexicon(lexicon: DataFrame, path: str, pins: dict[str, str] | None = None) -> dict:
+    """Partitioned by language, so that a search over one language reads only that; with a manifest, see store."""
+    from phonosearch.sources import store
+
+    return store.write(lexicon, path, "lexicon", pins, ("lang",))
+
+
+def read_lexicon(spark: SparkSession, path: str, pins: dict[str, str] | None = None) -> DataFrame:
+    from phonosearch.sources import store
+
+    return store.read(spark, path, "lexicon", pins)

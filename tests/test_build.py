@@ -102,16 +102,20 @@ def test_g2p(spark):
 
 
 def test_integrity(spark, tmp_path):
+    from phonosearch.sources import store
+
     out = str(tmp_path / "out")
     integrity.publish(spark.range(3), out, lambda df: df.count() == 3)
     integrity.publish(spark.range(4), out, lambda df: df.count() == 4)
-    assert spark.read.parquet(out).count() == 4
+    assert store.read(spark, out).count() == 4
     with pytest.raises(ValueError):
         integrity.publish(spark.range(5), out, lambda df: False)
-    assert spark.read.parquet(out).count() == 4
+    assert store.read(spark, out).count() == 4
     (tmp_path / "foreign").mkdir()
+    (tmp_path / "foreign" / "x").write_text("y")
     with pytest.raises(FileExistsError):
         integrity.publish(spark.range(1), str(tmp_path / "foreign"), lambda df: True)
     found = integrity.manifest(spark, out)
+    assert found.count() == found.select("name").distinct().count() > 1  # names are paths, so files of two folders don't collide
     assert integrity.differences(found, found).count() == 0
     assert integrity.over_budget(found).first().fits
