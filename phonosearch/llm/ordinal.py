@@ -82,6 +82,26 @@ def associated(place: np.ndarray, grade_of: np.ndarray, grades: np.ndarray, n: i
         return 2 * np.where(counts > 0, counts * np.log(counts / expected), 0.0).sum(axis=1)
 
 
+def objective(z, row, col, grades, weight, penalty, w, v, low, step) -> tuple[float, tuple]:
+    """The weighted negative log-likelihood with its penalty, and its slopes by w, v, low and step (cuts: low, low + exp(step), ...).
+
+    Row i has shape z[i] and the words col[row == i].
+    """
+    n = len(z)
+    cuts = low + np.concatenate(([0.0], np.cumsum(np.exp(step))))
+    s = z @ v + np.bincount(row, w[col], n)
+    up = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -40, 40)))  # P(grade > k)
+    full = np.concatenate((np.ones((n, 1)), up, np.zeros((n, 1))), axis=1)
+    slope = full * (1 - full)
+    i = np.arange(n)
+    p = np.maximum(full[i, grades] - full[i, grades + 1], 1e-12)
+    ds = -weight * (slope[i, grades] - slope[i, grades + 1]) / p
+    dcut = np.array([(weight * (np.where(grades == k + 1, slope[:, k + 1], 0) - np.where(grades == k, slope[:, k + 1], 0)) / p).sum() for k in range(GRADES - 1)])
+    gstep = np.array([dcut[j + 1 :].sum() for j in range(GRADES - 2)]) * np.exp(step)
+    value = -(weight * np.log(p)).sum() + penalty / 2 * ((w * w).sum() + (v * v).sum())
+    return float(value), (np.bincount(col, ds[row], len(w)) + penalty * w, z.T @ ds + penalty * v, dcut.sum(), gstep)
+
+
 def train(held: list[tuple[list[int], list[float]]], grades: np.ndarray, least_docs: int = LEAST_DOCS, rounds: int = 400, penalty: float = 2e-4) -> Model:
     """Maximum likelihood of the cumulative-link model, by gradient steps scaled by each weight's past gradients.
 
@@ -107,20 +127,7 @@ def train(held: list[tuple[list[int], list[float]]], grades: np.ndarray, least_d
     low = -1.0
     sums = [np.full(len(words), 1e-8), np.full(z.shape[1], 1e-8), 1e-8, np.full(GRADES - 2, 1e-8)]
     for _ in range(rounds if held else 0):
-        cuts = low + np.concatenate(([0.0], np.cumsum(np.exp(step))))
-        s = z @ v + np.bincount(row, w[col], len(held))
-        up = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -40, 40)))  # P(grade > k)
-        full = np.concatenate((np.ones((len(held), 1)), up, np.zeros((len(held), 1))), axis=1)
-        slope = full * (1 - full)
-        i = np.arange(len(held))
-        p = np.maximum(full[i, grades] - full[i, grades + 1], 1e-12)
-        ds = -weight * (slope[i, grades] - slope[i, grades + 1]) / p
-        dcut = np.zeros(GRADES - 1)
-        for k in range(GRADES - 1):
-            dcut[k] = (weight * (np.where(grades == k + 1, slope[:, k + 1], 0) - np.where(grades == k, slope[:, k + 1], 0)) / p).sum()
-        gw = np.bincount(col, ds[row], len(words)) + penalty * w
-        gv, glow = z.T @ ds + penalty * v, dcut.sum()
-        gstep = np.array([dcut[j + 1 :].sum() for j in range(GRADES - 2)]) * np.exp(step)
+        _, (gw, gv, glow, gstep) = objective(z, row, col, grades, weight, penalty, w, v, low, step)
         for j, (x, g) in enumerate(((w, gw), (v, gv), (None, glow), (step, gstep))):
             sums[j] = 0.95 * sums[j] + 0.05 * g * g
             if j == 2:
@@ -152,7 +159,8 @@ def grade(docs: DataFrame, model: Model, least: float = 0.5, hold: int = 500) ->
     """doc_id, expected_grade (0 to 2), p_not_toxic, p_good, selected (p_good >= least) for each row of docs.
 
     Null and empty texts have no words; they get the model's value for a text without words. Without
-    labels every text gets the same values. Columns other than doc_id and text are not looked at.
+    labels all texts of one shape get the same values. Columns other than doc_id and text are not looked at. Repeated rows are graded each; an
+    empty table gives an empty result; p_good equal to `least` selects.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -167,7 +167,8 @@ def judge(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     """doc_id, the counts, base_failed, rule (the first that rejects, from 0), kept, for each row of docs.
 
     Null and empty texts have no words: their counts are zero and they fail the base test. Lines without a word are not
-    counted as duplicates. Columns other than doc_id and text are not looked at.
+    counted as duplicates. Columns other than doc_id and text are not looked at. Repeated rows are judged each; an empty
+    table gives an empty result; a statistic equal to a rule's threshold meets it.
     """
     own = statistics(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("rule", expression(rules))
     return own.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"))

@@ -113,7 +113,8 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, sections=line_secti
 def document_tokens(docs: DataFrame, path: str, pattern: str, sections=line_sections) -> DataFrame:
     """doc_id, n_tokens, n_sections, n_crossing, sections (start, length, n_tokens each): a row for each row of docs.
 
-    Null and empty texts have no tokens and no sections.
+    Null and empty texts have no tokens and no sections. Of sections that hold equally many of a token's bytes the earlier gets it.
+    Repeated rows are counted each; an empty table gives an empty result; columns other than doc_id and text are not looked at.
     """
 
     def rows(read):

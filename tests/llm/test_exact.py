@@ -388,3 +388,69 @@ def test_first_rows_of_components(spark):
     df = spark.createDataFrame([(i, t, x, 1) for i, t, x in rows], "doc_id bigint, text string, own string, fp int")
     assert sorted(map(tuple, simhash.keep_first(df).collect()), key=str) == sorted([(3, one, "a", 1), (3, two, "b", 1), (None, "alone here", "e", 1), (7, " ", "g", 1)], key=str)
     assert simhash.keep_first(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def slow_rules(rows, precise, least, most):
+    """Sequential covering as the module describes it, by plain search over all thresholds."""
+    import math
+
+    def meets(r, c):
+        return r[c[0]] >= c[2] if c[1] == ">=" else r[c[0]] <= c[2]
+
+    def gain(inside, outside_p, outside_n):
+        p = sum(r["bad"] for r in inside)
+        return p * (math.log2(p / len(inside)) - math.log2(outside_p / (outside_p + outside_n))) if p else -1.0
+
+    rules, rest = [], rows
+    while len(rules) < most:
+        part, rule = [r for r in rest if r["part"] != 0], []
+        while len(rule) < 3 and part and any(r["bad"] for r in part) and not all(r["bad"] for r in part):
+            p0 = sum(r["bad"] for r in part)
+            options = []
+            for f in quality_rules.FEATURES:
+                found = sorted({r[f] for r in part})
+                for t in [(a + b) / 2 for a, b in zip(found, found[1:])]:
+                    for op in ("<=", ">="):
+                        c = (f, op, t)
+                        options.append((gain([r for r in part if meets(r, c)], p0, len(part) - p0), c))
+            top = max(options, key=lambda x: x[0], default=(0, None))
+            if top[0] <= 0:
+                break
+            rule.append(top[1])
+            part = [r for r in part if meets(r, top[1])]
+        prune = [r for r in rest if r["part"] == 0]
+
+        def worth(conditions):
+            got = [r["bad"] for r in prune if all(meets(r, c) for c in conditions)]
+            return ((2 * sum(got) - len(got)) / len(got) if got else -1.0), sum(got)
+
+        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
+            rule = rule[:-1]
+        got = [r["bad"] for r in rest if rule and all(meets(r, c) for c in rule)]
+        if sum(got) < least or sum(got) < precise * len(got):
+            break
+        rules.append(rule)
+        rest = [r for r in rest if not all(meets(r, c) for c in rule)]
+    return rules
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_learned_rules_are_those_of_plain_covering(seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(120):
+        r = {f: float(rng.randrange(12)) for f in quality_rules.FEATURES}
+        a, b, c = quality_rules.FEATURES[:3]
+        r["bad"] = int(r[a] >= 9 or (r[b] <= 2 and r[c] >= 7))
+        r["part"] = rng.randrange(3)
+        rows.append(r)
+    got = quality_rules.learn(rows)
+    assert got and got == slow_rules(rows, 0.98, 4, 12)
+
+
+def test_judging_repeated_rows_and_nothing(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None), (2, "word " * 60)], DOCS).withColumn("n_words", F.lit("x")).withColumn("rule", F.lit(1))
+    rules = [[(quality_rules.FEATURES[0], ">=", 1e9)]]
+    got = sorted((r.doc_id or 0, r.n_words, r.base_failed, r.kept) for r in quality_rules.judge(df, rules).collect())
+    assert got == [(0, 0, True, False), (1, 3, True, False), (1, 3, True, False), (2, 60, True, False)]
+    assert quality_rules.judge(df.limit(0), rules).count() == 0

@@ -406,6 +406,19 @@ def test_boundary_rule(lengths, cuts):
     assert [g.tolist() for g in got] == [counts, crossing]
 
 
+def test_token_counts_of_repeated_rows_and_of_nothing(spark):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    df = spark.createDataFrame([(1, "one two\nthree"), (1, "one two\nthree"), (None, None), (3, "")], DOCS)
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_sections) for r in token_counts.document_tokens(df, path, pattern).collect())
+    assert got[0] == (0, 0, 0) and got[1] == got[2] and got[1][2] == 2 and got[3] == (3, 0, 0)
+    assert token_counts.document_tokens(df.limit(0), path, pattern).count() == 0
+    long = spark.createDataFrame([(1, "word " * 200_000 + "\n" + "x" * 100_000)], DOCS)
+    r = token_counts.document_tokens(long, path, pattern).first()
+    assert r.n_sections == 2 and r.n_tokens == sum(s.n_tokens for s in r.sections)
+
+
 # ---- Classifier
 
 
@@ -433,6 +446,42 @@ def test_ordinal_classifier(spark):
     assert len(nothing) == 1
 
 
+def test_ordinal_slopes():
+    """The slopes are those of the objective, by differences."""
+    rng = np.random.default_rng(4)
+    n, words = 30, 6
+    z, grades, weight = rng.normal(size=(n, ordinal.SHAPES)), rng.integers(0, ordinal.GRADES, n), rng.random(n)
+    row, col = np.sort(rng.integers(0, n, 60)), rng.integers(0, words, 60)
+    at = [rng.normal(size=words), rng.normal(size=ordinal.SHAPES), np.array([-0.7]), rng.normal(size=ordinal.GRADES - 2)]
+    value = lambda x: ordinal.objective(z, row, col, grades, weight, 0.1, x[0], x[1], x[2][0], x[3])
+    slopes = [np.atleast_1d(g) for g in value(at)[1]]
+    for k, x in enumerate(at):
+        for i in range(len(x)):
+            sides = []
+            for d in (1e-5, -1e-5):
+                moved = [y.copy() for y in at]
+                moved[k][i] += d
+                sides.append(value(moved)[0])
+            assert slopes[k][i] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-6)
+
+
+def test_grades_are_the_formula(spark):
+    """Every text's probabilities by plain Python, from the words and shape that the model knows; equal rows are graded each."""
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice("good fine nice bad ### spam, Spam! the of".split()) for _ in range(rng.randrange(1, 40))) for _ in range(60)] + ODD + ["line\nline\n\nline", "word " * 50_000]
+    held = [ordinal.words_of(t) for t in texts[:60]]
+    model = ordinal.train(held, np.array([i % 3 for i in range(60)]), least_docs=1)
+    df = docs_of(spark, texts, shape=3)
+    got = ordinal.grade(df.unionByName(df), model).collect()
+    assert len(got) == 2 * len(texts) and ordinal.grade(df.limit(0), model).count() == 0
+    weights = dict(zip(model.words.tolist(), model.weights.tolist()))
+    for r in got:
+        words, shape = ordinal.words_of(texts[r.doc_id])
+        s = sum(weights.get(w, 0.0) for w in words) + sum((x - c) / d * v for x, c, d, v in zip(shape, model.centre, model.scale, model.shape))
+        up = [1 / (1 + math.exp(-(s - c))) for c in model.cuts]
+        assert (r.p_not_toxic, r.p_good, r.expected_grade) == (pytest.approx(up[0]), pytest.approx(up[-1]), pytest.approx(sum(up))) and r.selected == (r.p_good >= 0.5)
+
+
 def test_ordinal_gradient():
     """Training raises the likelihood of every grade well above an even guess."""
     held = [([1, 2], [0.0] * ordinal.SHAPES), ([2, 3], [0.0] * ordinal.SHAPES), ([3], [0.0] * ordinal.SHAPES)] * 10
