@@ -604,3 +604,107 @@ def stored_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_lexicon(lexicon(spark, sf_dir), at, {"inventory": "1"})
     back = files.read_lexicon(spark, at, {"inventory": "1"})
     return back.groupBy("lang").agg(F.count("*").alias("words"), F.sum(F.length("word")).alias("letters"), F.sum(F.length(F.get("native", F.lit(0)))).alias("sounds"))
+
+
+# ---- Sources: what they read is written from the tables first -------------------------------------
+
+
+def one_object(rows: DataFrame, key: str, value, at: str, inside: str | None = None) -> None:
+    """A JSON object {key: value}, or {inside: {key: value}}, as one file: the formats that the sources read are such."""
+    whole = F.map_from_entries(F.collect_list(F.struct(F.col(key), value)))
+    rows.agg((F.struct(whole.alias(inside)) if inside else whole).alias("o")).select(F.to_json("o")).coalesce(1).write.text(at)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    from phonosearch.plans.testdata import folder
+
+    return folder(spark, name)
+
+
+@query(f"WITH {sql.LAYERS} SELECT word, 'en' AS lang, zipf, CAST(len(native) AS INTEGER) AS sounds, array_to_string(native, ' ') AS spelled FROM layers")
+def source_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phonosearch.sources import files
+
+    at = scratch(spark, "dictionary")
+    sounds = F.split(spelled(native_code(F.col("word"))), " ")
+    rows = vocabulary(spark, sf_dir).select("word", F.lit("en").alias("lang"), sounds.alias("phonemes"), "zipf")
+    rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.text(at)
+    return files.dictionary(spark, at).select("word", "lang", "zipf", F.size("phonemes").alias("sounds"), F.array_join("phonemes", " ").alias("spelled"))
+
+
+@query(f"WITH {sql.VOCAB} SELECT 'en' AS lang, word, CAST(length(word) AS INTEGER) AS n, array_to_string(string_split(word, ''), ' ') AS events FROM lex")
+def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phonosearch.sources import files
+
+    at = scratch(spark, "events")
+    vocabulary(spark, sf_dir).select(F.concat_ws("\t", F.lit("en"), "word", F.array_join(F.split("word", ""), "|"))).write.text(at)
+    return files.raw_events(spark, at).select("lang", "word", F.size("events").alias("n"), F.array_join("events", " ").alias("events"))
+
+
+@query(f"WITH {sql.VOCAB} SELECT word, upper(word) AS hangul FROM lex")
+def source_loanwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phonosearch.sources import files
+
+    at = scratch(spark, "loanwords")
+    one_object(vocabulary(spark, sf_dir), "word", F.array(F.upper("word"), F.col("word")), at)
+    return files.loanwords(spark, at).select("word", "hangul")
+
+
+@query(f"WITH {EDGES} SELECT first AS head, second AS next, n AS count FROM edge")
+def source_word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phonosearch.sources import files
+
+    at = scratch(spark, "bigrams")
+    heads = edges(spark, sf_dir).groupBy("first").agg(F.collect_list(F.array(F.col("second"), F.col("n").cast("string"), F.lit("0.5"))).alias("f"))
+    one_object(heads, "first", F.col("f"), at, "entries")
+    return files.word_bigrams(spark, at).select("head", "next", "count")
+
+
+BENCH_EDGES = "bp AS (SELECT word AS head, lead(word) OVER (PARTITION BY item_id ORDER BY pos) AS next FROM (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark))), be AS (SELECT head, next, count(*) AS n FROM bp WHERE next IS NOT NULL GROUP BY head, next)"
+
+
+@query(f"WITH {BENCH_EDGES} SELECT head, upper(head) AS norm, next, n AS count, CASE WHEN next LIKE '%n' THEN upper(next) END AS next_norm FROM be")
+def source_surface_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the benchmark's words, with normal forms of some."""
+    from phonosearch.sources import files
+
+    at = scratch(spark, "surfaces")
+    w = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    after = lambda k: F.slice("w", F.lit(k), F.greatest(F.size("w") - 1, F.lit(0)))
+    pairs = w.select(F.explode(F.arrays_zip(after(1).alias("a"), after(2).alias("b"))).alias("p")).groupBy(F.col("p.a").alias("head"), F.col("p.b").alias("next")).agg(F.count("*").alias("n"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    entry = F.concat(F.lit("["), quoted(F.col("next")), F.lit(","), F.col("n").cast("string"), F.lit(",0.5"), F.when(F.col("next").like("%n"), F.concat(F.lit(","), quoted(F.upper("next")))).otherwise(""), F.lit("]"))
+    heads = pairs.groupBy("head").agg(F.concat(quoted(F.col("head")), F.lit(":["), quoted(F.upper("head")), F.lit(",["), F.array_join(F.collect_list(entry), ","), F.lit("]]")).alias("x"))
+    heads.agg(F.concat(F.lit('{"entries":{'), F.array_join(F.collect_list("x"), ","), F.lit("}}")).alias("value")).coalesce(1).write.text(at)
+    return files.surface_bigrams(spark, at).select("head", "norm", "next", "count", "next_norm")
+
+
+@query(f"WITH {sql.VOCAB} SELECT 'en' AS lang, word, zipf FROM lex")
+def source_tab_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phonosearch.sources import files
+
+    at = scratch(spark, "tab")
+    files.tab_separated(vocabulary(spark, sf_dir).select(F.lit("en").alias("lang"), "word", "zipf"), at)
+    return files.read_tab_separated(spark, at, "lang string, word string, zipf double")
+
+
+@query(f"WITH {sql.VOCAB} SELECT word, array_to_string(string_split(word, ''), ' ') AS sounds FROM lex")
+def source_pronunciations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phonosearch.operators import pronounce
+    from phonosearch.sources import files
+
+    at = scratch(spark, "pronunciations")
+    pronounce.write_json(spoken_words(spark, sf_dir), at)
+    return files.pronunciations(spark, at, "en_koreanized").select("word", F.array_join("phonemes", " ").alias("sounds"))
+
+
+#: Letters as events: each is a sound by itself; what they become is spelled by letters that no word has.
+AS_SOUNDS = {"A": "ja", "E": "je", "O": "jo", "U": "ju", "B": "wa", "C": "we", "D": "wi", "Y": "wi", "R": "ɾ"}
+MERGED = "regexp_replace(" * 9 + "replace(translate(word, 'bdgx', 'ptkh'), 'y', 'Y')" + "".join(f", '{a}', '{b}', 'g')" for a, b in (("ja", "A"), ("je", "E"), ("jo", "O"), ("ju", "U"), ("ji", "i"), ("wa", "B"), ("we", "C"), ("wi", "D"), ("w([ou])", "\\1")))
+
+
+@query(f"WITH {sql.VOCAB}, m AS (SELECT word, regexp_replace({MERGED}, 'l([aeiouAEOUBCDY])', 'R\\1', 'g') AS x FROM lex) SELECT word, array_to_string(list_transform(string_split(x, ''), lambda c: coalesce({sql.map_of(AS_SOUNDS.items())}[c], c)), ' ') AS phonemes FROM m")
+def normalize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words' letters as events of the Korean inventory."""
+    n = vocabulary(spark, sf_dir).select("word", events.normalize(F.split("word", "")).alias("n"))
+    return n.select("word", F.array_join("n.phonemes", " ").alias("phonemes"))
