@@ -93,24 +93,24 @@ def consonant_similarity(op, place, manner, strength, voice, config: Config = Co
     return unit(op, op.low(score, cap))
 
 
-def phoneme_similarity(a: str, b: str) -> float:
+def phoneme_similarity(a: str, b: str, config: Config = Config()) -> float:
     """Of two phonemes: 1 if they are the same, 0 for unknown ones and for a vowel with a consonant."""
     if a == b:
         return 1.0
     for table, formula, turn in ((VOWELS, vowel_similarity, lambda d: unit(Numbers, 1 - d)), (CONSONANTS, consonant_similarity, lambda d: d)):
         if a in table and b in table:
-            return float(formula(Numbers, *(turn(abs(x - y)) for x, y in zip(table[a], table[b]))))
+            return float(formula(Numbers, *(turn(abs(x - y)) for x, y in zip(table[a], table[b])), config=config))
     return 0.0
 
 
 @cache
-def matrix() -> np.ndarray:
-    """similarity[i, j] of PHONEMES; a last row and column of zeros for the unknown phoneme."""
+def matrix(config: Config = Config()) -> np.ndarray:
+    """similarity[i, j] of PHONEMES by a configuration; a last row and column of zeros for the unknown phoneme."""
     n = len(PHONEMES)
     out = np.zeros((n + 1, n + 1))
     for i, a in enumerate(PHONEMES):
         for j, b in enumerate(PHONEMES):
-            out[i, j] = phoneme_similarity(a, b)
+            out[i, j] = phoneme_similarity(a, b, config)
     return out
 
 

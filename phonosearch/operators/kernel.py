@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from phonosearch.functions.inventory import FIRST_CODE, INDEX, PHONEMES, VOWELS, encode
-from phonosearch.functions.similarity import matrix
+from phonosearch.functions.similarity import Config, matrix
 
 VOWEL = np.array([p in VOWELS for p in PHONEMES] + [False])
 
@@ -37,6 +37,7 @@ class Query:
     consonant_weight: float = 1.0
     vowels_only: bool = False
     detail: tuple[float, ...] = ()
+    config: Config = Config()
 
     @property
     def code(self) -> str:
@@ -47,7 +48,7 @@ class Query:
         return "".join(self.phonemes)
 
 
-def prepare(phonemes, detail=None, vowel_weight: float = 1.0, consonant_weight: float = 1.0, use_detail: bool = False, vowels_only: bool = False, is_vowel: Callable[[str], bool] = default_is_vowel) -> Query:
+def prepare(phonemes, detail=None, vowel_weight: float = 1.0, consonant_weight: float = 1.0, use_detail: bool = False, vowels_only: bool = False, is_vowel: Callable[[str], bool] = default_is_vowel, config: Config = Config()) -> Query:
     """Weights are base times detail; with use_detail both bases are 1; vowels_only drops the consonants of both."""
     phonemes = list(phonemes)
     detail = [1.0] * len(phonemes) if detail is None else [float(detail[i]) if i < len(detail) else 1.0 for i in range(len(phonemes))]
@@ -57,7 +58,7 @@ def prepare(phonemes, detail=None, vowel_weight: float = 1.0, consonant_weight:
         vowel = [True] * len(phonemes)
     base = (1.0, 1.0) if use_detail else (float(vowel_weight), float(consonant_weight))
     weights = tuple((base[0] if v else base[1]) * d for v, d in zip(vowel, detail))
-    return Query(tuple(phonemes), weights, *base, vowels_only, tuple(detail))
+    return Query(tuple(phonemes), weights, *base, vowels_only, tuple(detail), config)
 
 
 def sequences(codes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +123,7 @@ def slid(ids: np.ndarray, query: Query, sim: np.ndarray) -> np.ndarray:
 
 def score_codes(codes: pa.Array, query: Query, parts: str = "both", shortcut: bool = True, sim: np.ndarray | None = None) -> np.ndarray:
     """Scores of an array of codes: 100 for an equal joined spelling, else the higher of alignment and window; 0 if either is empty."""
-    sim = matrix() if sim is None else sim
+    sim = matrix(query.config) if sim is None else sim
     data, starts, lengths = sequences(codes)
     out = np.zeros(len(lengths))
     if not query.phonemes:
@@ -196,7 +197,7 @@ def plain_score(code: Column, query: Query) -> Column:
 
     The alignment's row is an array that an aggregate carries over the target's sounds.
     """
-    sim = matrix()
+    sim = matrix(query.config)
     n = len(query.phonemes)
     q = [INDEX.get(p, len(PHONEMES)) for p in query.phonemes]
     own = 0.0
@@ -273,7 +274,7 @@ def match_indices(target: list[str], query: Query) -> tuple[float, list[int]]:
     if "".join(target) == query.joined:
         return 100.0, list(range(n))
     ids = lambda xs: [INDEX.get(p, len(PHONEMES)) for p in xs]
-    like = np.where(np.equal.outer(np.array(target, object), np.array(query.phonemes, object)), 1.0, matrix()[np.ix_(ids(target), ids(query.phonemes))])
+    like = np.where(np.equal.outer(np.array(target, object), np.array(query.phonemes, object)), 1.0, matrix(query.config)[np.ix_(ids(target), ids(query.phonemes))])
     weight = np.array(query.weights, float)
     score, found = traced(like, np.array([query.vowel_weight if p in VOWELS else query.consonant_weight for p in target], float), weight)
     own = sum(query.weights)

@@ -67,7 +67,7 @@ def splits(request: Request, which: str) -> list[Split]:
     else:
         found = {"native": (v.native,), "koreanized": v.koreanized}.get(r.mode, (v.native, *v.koreanized))
     vowel = lambda p: p in VOWELS if p in INDEX else r.is_vowel(p)
-    make = lambda p, d: prepare(p, d, r.vowel_weight, r.consonant_weight, r.use_detail, False, r.is_vowel)
+    make = lambda p, d: prepare(p, d, r.vowel_weight, r.consonant_weight, r.use_detail, False, r.is_vowel, r.config)
     out: list[Split] = []
     for phonemes, detail in found:
         syllables = r.syllables if r.syllables is not None and phonemes == v.native[0] else None

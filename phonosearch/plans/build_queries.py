@@ -31,6 +31,7 @@ def query(oracle: str | None = None):
 
 # ---- Hangul ---------------------------------------------------------------------------------------
 
+# Published inputs of text, sound, event and transfer cases.
 KOREAN = ["맛있다", "사람이", "괜찮아", "없어", "국가", "신라", "읽는", "좋다", "가나다", "나도", "사랑", "외계", "웨이브", "의사", "ㅋㅏ", "ㅏㅏ", "ㅋㅋ", "가a나", "닭", "꽃잎", ""]
 SPOKEN = [("맛있다", "m a t i t t* a"), ("사람이", "s a ɾ a m i"), ("괜찮아", "k wɛ n tɕʰ a n a"), ("없어", "ʌ p s* ʌ"), ("국가", "k u k k* a"), ("신라", "s i l ɾ a"), ("읽는", "i ŋ n ɯ n"), ("좋다", "tɕ o tʰ a"), ("가나다", "k a n a t a t a"), ("나도", "n a t o"), ("사랑", "s a ɾ a ŋ"), ("외계", "we k je"), ("웨이브", "we i p ɯ"), ("의사", "ɯ s a")]
 HANGUL = f"w AS (SELECT * FROM {sql.values([(x,) for x in KOREAN], 'word')}), ch AS (SELECT word, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1) AS i FROM w WHERE word <> ''), code AS (SELECT word, i, c, unicode(c) - 44032 AS s FROM ch), syl AS (SELECT * FROM code WHERE s BETWEEN 0 AND 11171)"
@@ -243,6 +244,7 @@ def suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- Events and transfers -------------------------------------------------------------------------
 
+# Fixed values, as above.
 EVENTS = [("국가", ["k", "u", "k", "ʼ", "a"]), ("사랑", ["s", "a", "ɾ", "a", "ŋ"]), ("외계", ["ø", "g", "j", "e"]), ("잡지", ["d", "͡", "ʑ", "a", "p", "t", "͡", "ɕ", "ʼ", "i"]), ("물", ["m", "u", "ɾ"]), ("이이", ["j", "i", "j", "i"]), ("q", ["q", "a"])]
 
 
@@ -259,6 +261,7 @@ def restore_codas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("word", F.array_join("r.phonemes", " ").alias("phonemes"), "r.restored", "r.aligned")
 
 
+# Fixed values, as above.
 TRANSFERS = [("1 10 1", "l ʌ v", "ɾ ʌ p ɯ"), ("1 1 10", "l ʌ v", "ɾ ʌ p ɯ"), ("1 10 1", "t aɪ m", "tʰ a i m"), ("10 5 1", "f l oʊ", "pʰ ɯ l ɾ o"), ("3 1 7", "l ʌ v", "l ʌ v")]
 
 

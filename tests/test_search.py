@@ -281,3 +281,19 @@ def test_loader_tries_again():
 
 def test_all_codes_are_single_characters():
     assert len(set(CODES.values())) == len(PHONEMES) and all(len(c) == 1 for c in CODES.values())
+
+
+def test_another_similarity(spark):
+    """A request's own configuration decides the scores of both kernels and of linked search."""
+    from dataclasses import replace
+
+    from phonosearch.functions.similarity import Config
+
+    other = Config(consonant=(0.1, 0.1, 0.4, 0.4), place_caps=((0.25, 0.9), (0.5, 0.8)), place_else=0.7)
+    q, own = kernel.prepare(list("kan"), None, 2.5, 1.0), kernel.prepare(list("kan"), None, 2.5, 1.0, config=other)
+    df = spark.createDataFrame([(encode(list("tan")),)], "c string")
+    a, b, c = df.select(kernel.score(F.col("c"), q), kernel.score(F.col("c"), own), kernel.plain_score(F.col("c"), own)).first()
+    assert a != b == c
+    plain_pairs, _ = linked(spark)
+    pairs, _ = linked(spark, replace(LINK, config=other))
+    assert {(r.first, r.second): r.boundary for r in pairs.collect()} != {(r.first, r.second): r.boundary for r in plain_pairs.collect()}
