@@ -24,7 +24,7 @@ from .common import arrow_map, cut, texts
 
 CAPACITY, END_ID = 2048, 1
 #: Distinct words whose ids a worker remembers in each of two generations.
-REMEMBER = 250_000
+REMEMBER = 150_000
 #: Pieces that one task ranks at most, about.
 RANKED = 100_000
 #: The linear program is solved to within this share of its optimum (the bound is optimum >= value / best pattern's worth).
