@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix, scratch, space_words, texts
+from .common import arrow_map, cut, mix, scratch, space_words, texts
 
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 #: Fewest shards; bytes of text that one shard's trigrams come from, about.
@@ -491,7 +491,8 @@ def train(docs: DataFrame, shards: int | None = None, shard_bytes: int = SHARD_B
     model = {"folder": folder, "layout": given, "tokens": 0, "pairs": 0, "vocabulary": 0, "tri": {}, "ctx": {}, "bi": {}, "back": {}, "hot": {}, "word": {}}
     counts = np.zeros((3, 4), np.int64)
     hot_back = np.zeros((4, len(layout_of(given).hot)), np.int64)
-    for r in arrow_map(dealt(spread), finish, "said string", 1).toLocalIterator():  # two rows for each shard
+    # two rows for each shard, written by all tasks at once and then read one file after the other
+    for r in cut(arrow_map(dealt(spread), finish, "said string", 1)).coalesce(8).toLocalIterator():
         said = json.loads(r.said)
         for k in ("tri", "ctx", "bi", "back", "hot", "word"):
             if k in said:

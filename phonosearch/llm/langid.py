@@ -227,7 +227,7 @@ def drawn(docs: DataFrame, sample_docs: int, each: int, spread: int) -> list[tup
     parts = F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda i: F.substr("text", (F.floor(i * (n - piece) / max(1, spread - 1)) + 1).cast("int"), F.lit(piece)))
     some = own.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < limit[F.col("lang")])
     some = some.select("lang", F.when(n <= 2 * each, F.col("text")).otherwise(F.array_join(parts, " ")).alias("text"))
-    return sorted({(r.lang, r.text) for r in some.toLocalIterator()}, key=lambda x: (x[0], zlib.crc32(x[1].encode("utf-8", "surrogatepass")), x[1]))
+    return sorted({(r.lang, r.text) for r in some.collect()}, key=lambda x: (x[0], zlib.crc32(x[1].encode("utf-8", "surrogatepass")), x[1]))
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_letters: int = SAMPLE_LETTERS, sample_each: int = SAMPLE_EACH, spread: int = SPREAD) -> dict[str, str]:

@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bad_
     limit = F.create_map(*(x for g in range(GRADES) for x in (F.lit(g), F.lit(int(min(1.0, room[g] / max(1, sizes.get(g, 0))) * (1 << 30))))))
     drawn = named.where(part < limit[F.col("grade")])  # a little over sample_rows rows of two numbers at most
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
-    rows = sorted((r.doc_id, r.grade, r.words, r["shape"]) for r in features(own, "grade").toLocalIterator())
+    rows = sorted((r.doc_id, r.grade, r.words, r["shape"]) for r in features(own, "grade").collect())
     return train([(w, s) for _, _, w, s in rows], np.array([g for _, g, _, _ in rows], np.int64))
 
 
