@@ -658,8 +658,7 @@ def source_word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phonosearch.sources import files
 
     at = scratch(spark, "bigrams")
-    heads = edges(spark, sf_dir).groupBy("first").agg(F.collect_list(F.array(F.col("second"), F.col("n").cast("string"), F.lit("0.5"))).alias("f"))
-    one_object(heads, "first", F.col("f"), at, "entries")
+    files.write_word_bigrams(edges(spark, sf_dir), at)
     return files.word_bigrams(spark, at).select("head", "next", "count")
 
 

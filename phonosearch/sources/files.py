@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +46,52 @@ def surface_bigrams(spark: SparkSession, path: str) -> DataFrame:
         FROM {bigrams}, LATERAL variant_explode(v) AS h, LATERAL variant_explode(try_variant_get(h.value, '$[1]', 'variant')) AS e""", bigrams=v)
 
 
+#: Pairs in a file of bigrams, about 3 MB of text: a file is one object, which is made and read as one row.
+FILE_PAIRS = 1 << 17
+
+
+def write_word_bigrams(pairs: DataFrame, path: str, each: int = FILE_PAIRS) -> None:
+    """Packed files of `each` pairs (first, second, n, none of them null) at most, as many as it takes, each an object {entries: {head: [[next, count, score], ...]}}.
+
+    Pairs stay in their partitions, so nothing is shuffled again; a head has followers in as many files as partitions have them. The score is 0.5.
+    """
+
+    def objects(batches):
+        held, count = [], 0
+        for b in batches:
+            while b.num_rows:
+                part, b = b.slice(0, each - count), b.slice(each - count)
+                held.append(part)
+                count += part.num_rows
+                if count == each:
+                    yield bigram_object(held)
+                    held, count = [], 0
+        if held:
+            yield bigram_object(held)
+
+    rows = pairs.select("first", "second", F.col("n").cast("string").alias("n")).sortWithinPartitions("first", "second")
+    rows.mapInArrow(objects, "value string").write.option("maxRecordsPerFile", 1).text(path, compression="gzip")
+
+
+def bigram_object(batches: list) -> pa.RecordBatch:
+    """One row: the object of pairs (first, second, n) that are sorted by first."""
+    first, second, n = (c.combine_chunks() for c in pa.Table.from_batches(batches).columns)
+    entry = pc.binary_join_element_wise("[", quoted(second), ',"', n, '","0.5"]', "")
+    new = pa.concat_arrays([pa.array([True]), pc.not_equal(first[1:], first[:-1])])
+    before = pc.if_else(new, pc.binary_join_element_wise("],", quoted(first), ":[", ""), ",")
+    inside = "".join(pc.binary_join_element_wise(before, entry, "").to_pylist())
+    return pa.RecordBatch.from_pydict({"value": [f'{{"entries":{{{inside[2:]}]}}}}']})
+
+
+def quoted(words: pa.Array) -> pa.Array:
+    """Words as JSON strings; only where some need escapes one by one."""
+    if pc.any(pc.match_substring_regex(words, r'["\\\x00-\x1f]')).as_py():
+        return pa.array([json.dumps(w, ensure_ascii=False) for w in words.to_pylist()], words.type)
+    return pc.binary_join_element_wise('"', words, '"', "")
+
+
 def word_bigrams(spark: SparkSession, path: str) -> DataFrame:
-    """head, next, count of {entries: {head: [[next, count, score], ...]}}."""
+    """head, next, count of {entries: {head: [[next, count, score], ...]}}; a folder's files are an object each."""
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", "entries map<string,array<array<string>>>").alias("m"))
     return text.select(F.explode("m.entries").alias("head", "followers")).select("head", F.explode("followers").alias("f")).select("head", F.get("f", F.lit(0)).alias("next"), F.get("f", F.lit(1)).cast("bigint").alias("count"))
 

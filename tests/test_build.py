@@ -1,5 +1,6 @@
 """Sources, lexicon building, events, topics, pronunciation and integrity."""
 
+import gzip
 import json
 
 import numpy as np
@@ -119,3 +120,18 @@ def test_integrity(spark, tmp_path):
     assert found.count() == found.select("name").distinct().count() > 1  # names are paths, so files of two folders don't collide
     assert integrity.differences(found, found).count() == 0
     assert integrity.over_budget(found).first().fits
+
+
+@pytest.mark.parametrize("each", [40, 7, 100_000])
+def test_bigrams_are_written_in_bounded_objects(spark, tmp_path, each):
+    """No object holds many more pairs than asked for, not even a frequent head's; no pair is lost."""
+    rows = [("the", f'n"{i}', i) for i in range(300)] + [(f"w{i}", f"x{j}", i + j) for i in range(60) for j in range(i % 5)] + [('a"b\\', "é", 1)]
+    at = str(tmp_path / "bigrams")
+    files.write_word_bigrams(spark.createDataFrame(rows, "first string, second string, n bigint"), at, each)
+    objects = [json.loads(gzip.decompress(p.read_bytes())) for p in (tmp_path / "bigrams").glob("part-*")]
+    objects = [o["entries"] for o in objects]
+    sizes = [sum(map(len, o.values())) for o in objects]
+    assert sum(sizes) == len(rows) and max(sizes) <= each and all(e[2] == "0.5" for o in objects for x in o.values() for e in x)
+    assert sorted(map(tuple, files.word_bigrams(spark, at).collect())) == sorted(rows)
+    files.write_word_bigrams(spark.createDataFrame([], "first string, second string, n bigint"), at + "0", each)
+    assert files.word_bigrams(spark, at + "0").count() == 0
