@@ -135,3 +135,32 @@ def test_bigrams_are_written_in_bounded_objects(spark, tmp_path, each):
     assert sorted(map(tuple, files.word_bigrams(spark, at).collect())) == sorted(rows)
     files.write_word_bigrams(spark.createDataFrame([], "first string, second string, n bigint"), at + "0", each)
     assert files.word_bigrams(spark, at + "0").count() == 0
+
+
+@pytest.mark.parametrize("block, rows", [(2000, 8192), (3, 70)])
+def test_study_of_all_pairs_without_a_table_of_pairs(spark, block, rows):
+    """Sums, best rows and the exact percentile against brute force, with ties and a scheme that tells nothing; errors leave their task only where they may be the percentile."""
+    from phonosearch.operators import study
+
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    exact = unit(rng.normal(size=(420, 8)))
+    schemes = [unit(np.sign(exact[:, :4])), exact.copy(), np.zeros((420, 2)), unit(exact[:, :5])]
+    df = spark.createDataFrame([(i, *(m[i].tolist() for m in (exact, *schemes))) for i in range(420)], "row_id bigint, e array<double>, a array<double>, b array<double>, c array<double>, d array<double>")
+    got = study.summed(df.repartition(3), 4, 10, block, rows)
+    topics = np.arange(0, 420, 50)
+    sims = lambda m: sum(np.multiply.outer(m[topics, k], m[:, k]) for k in range(m.shape[1]))
+    best = lambda v: set(sorted(range(420), key=lambda i: (-v[i], i))[:10])
+    for (corr, p99, kept), m in zip(got, schemes):
+        x, y = sims(exact), sims(m)
+        assert p99 == max(np.sort(abs(a - b))[-(-99 * 420 // 100) - 1] for a, b in zip(x, y))
+        assert kept == pytest.approx(np.mean([len(best(a) & best(b)) / 10 for a, b in zip(x, y)]))
+        assert corr is None if not m.any() else corr == pytest.approx(np.mean([np.corrcoef(a, b)[0, 1] for a, b in zip(x, y)]))
+
+
+def test_quantization_study_joins_no_pairs(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=12).tolist()) for i in range(120)], "vec_id bigint, embedding array<float>")
+    found = topic.quantization_study(df, (("pca", 8, 4), ("pq", 8, 2)), centres=4)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert [(r.scheme, r.bytes) for r in found.collect()] == [("pca8/4", 4), ("pq8/2", 2)] and all(0 < r.p99 < 2 and 0 < r.corr < 1 and 0 <= r.kept <= 1 for r in found.collect())
